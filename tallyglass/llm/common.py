@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +39,19 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_shipped: set[str] = set()
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow, after making this package known to the executors' Python, wherever they run."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        package = Path(__file__).parents[1]
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name))
+        _shipped.add(sc.applicationId)
+    return df.mapInArrow(run, schema)
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """df (already stored, so cheap to count) with a broadcast hint if it has max_rows rows at most; else df for a shuffled join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, small
+from .common import arrow_map, keep, small
 
 #: A piece ends after a line break, or after space that follows the end of a sentence.
 PIECE = re.compile(r"[^\n]*?(?:[.!?][ \t]+|\n)|[^\n]+$")
@@ -158,13 +158,13 @@ def copied_pieces(docs: DataFrame, min_words: int) -> DataFrame:
             gone = [copied(*x, min_words) for x in zip(c["pieces"], c["words"], c["owner_pieces"], c["owner_words"], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("hash"), pa.array(gone, pa.list_(pa.int32()))], names=["doc", "hash", "gone"])
 
-    told = keep(docs.filter("doc is not null").select("doc", "text", F.xxhash64("text").alias("hash")).mapInArrow(outlines, "doc long, hash long, pieces array<long>, words array<int>, keys array<long>"))
+    told = keep(arrow_map(docs.filter("doc is not null").select("doc", "text", F.xxhash64("text").alias("hash")), outlines, "doc long, hash long, pieces array<long>, words array<int>, keys array<long>"))
     keyed = told.select("doc", "hash", F.explode("keys").alias("key"))
     owners = keyed.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("key", "owner")
     pairs = keep(keyed.join(owners, "key").filter("owner < doc").select("doc", "hash", "owner").distinct())
     owner = told.select(F.col("doc").alias("owner"), F.col("pieces").alias("owner_pieces"), F.col("words").alias("owner_words"))
     both = pairs.join(told.select("doc", "hash", "pieces", "words").distinct(), ["doc", "hash"]).join(owner, "owner").select("doc", "hash", "pieces", "words", "owner_pieces", "owner_words")
-    return both.mapInArrow(aligned, "doc long, hash long, gone array<int>").select("doc", "hash", F.explode("gone").alias("gone")).groupBy("doc", "hash").agg(F.collect_set("gone").alias("gone"))
+    return arrow_map(both, aligned, "doc long, hash long, gone array<int>").select("doc", "hash", F.explode("gone").alias("gone")).groupBy("doc", "hash").agg(F.collect_set("gone").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_broadcast_rows: int = 200_000) -> DataFrame:
@@ -186,4 +186,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [c for c in docs.columns if c not in ("n_words_removed", "n_words_left")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
     joined = docs.select(names).join(small(gone, max_broadcast_rows), (F.col(id_col) == F.col("_doc")) & (F.xxhash64(text_col) == F.col("_hash")), "left").select(*names, "_gone")
-    return joined.mapInArrow(edit, f"{fields}, n_words_removed long, n_words_left long")
+    return arrow_map(joined, edit, f"{fields}, n_words_removed long, n_words_left long")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import keep, small
+from .common import arrow_map, keep, small
 from .components import components
 
 SEED = 20_250
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
             ends = np.cumsum([0, *map(len, keys)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["doc", "n", "k1", "k2", "keys"])
 
-    return docs.mapInArrow(run, "doc long, n long, k1 long, k2 long, keys array<long>")
+    return arrow_map(docs, run, "doc long, n long, k1 long, k2 long, keys array<long>")
 
 
 def sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -109,7 +109,7 @@ def sets(docs: DataFrame, shingle: int) -> DataFrame:
             flat = pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["doc", "members"])
 
-    return docs.mapInArrow(run, "doc long, members array<long>")
+    return arrow_map(docs, run, "doc long, members array<long>")
 
 
 def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:

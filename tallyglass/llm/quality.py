@@ -9,7 +9,8 @@ Sites then lend each other strength. From the evidence of all documents come the
 hosts and of paths within hosts, by grouped sums. A host's rate is shrunk toward the global one, a path's toward its
 host's, each as if `weight` more documents had been seen at the upper rate. The weight is estimated from the hosts (or
 paths) themselves, by moments of a beta distribution: the less their rates differ beyond chance, the more they shrink,
-so sparse sites fall back on what is above them. A document's posterior joins its evidence with its path's prior.
+so sparse sites fall back on what is above them. A document's posterior joins its evidence with its path's prior; from
+the posteriors the rates are estimated again, a few times.
 
 Results for odd input: null and empty texts have only their shape as evidence; null hosts and paths are a host and a path;
 labels that are null or of unknown documents are not used; rows that repeat an id are rated each by its text; without
@@ -27,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, small
+from .common import arrow_map, keep, small
 
 TARGETS = ("low", "toxic")
 WORD = re.compile(r"\w+")
 #: Lengths of word prefixes that are features of their own.
 PREFIXES = (4, 5, 6)
-#: A feature counts if it is in at least so many labelled documents and moves the log odds at least so far.
-MIN_DOCS, MIN_LOG_ODDS = 5, 2.0
+#: A feature counts if it is in at least so many labelled documents. Its log odds are shrunk toward 0 by so many standard
+#: errors, so that chance finds vanish, and must be at least so large then.
+MIN_DOCS, SHRINK, MIN_LOG_ODDS = 5, 3.0, 0.5
 #: A text is looked through in stretches of about so many characters, cut at space.
 STRETCH = 1 << 20
 
@@ -89,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int, max_features: int
 
     ones = [F.sum(F.col(t)).alias(f"{t}_1") for t in TARGETS]
     known = [F.count(F.col(t)).alias(f"{t}_n") for t in TARGETS]
-    counts = keep(sample.mapInArrow(explode, "feature string, low int, toxic int").groupBy("feature").agg(*ones, *known).filter(" or ".join(f"{t}_n >= {MIN_DOCS}" for t in TARGETS)))
+    counts = keep(arrow_map(sample, explode, "feature string, low int, toxic int").groupBy("feature").agg(*ones, *known).filter(" or ".join(f"{t}_n >= {MIN_DOCS}" for t in TARGETS)))
     total = counts.filter("feature = ''").first()
     models = {}
     for t in TARGETS:
@@ -97,11 +99,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int, max_features: int
         models[t] = {"prior": 0.0, "odds": {}}
         if not n1 or n1 == n:
             continue
-        # rates with a pseudo count of one document in all, spread over both kinds as they are
-        rate1 = (F.col(f"{t}_1") + n1 / n) / (n1 + 1)
-        rate0 = (F.col(f"{t}_n") - F.col(f"{t}_1") + 1 - n1 / n) / (n - n1 + 1)
-        odds = F.log(rate1 / rate0)
-        strong = counts.filter((F.col("feature") != "") & (F.col(f"{t}_n") >= MIN_DOCS)).select("feature", odds.alias("odds")).filter(F.abs("odds") >= MIN_LOG_ODDS)
+        # counts with a pseudo count of one document in all, spread over both kinds as they are
+        c1, c0 = F.col(f"{t}_1") + n1 / n, F.col(f"{t}_n") - F.col(f"{t}_1") + (1 - n1 / n)
+        odds = F.log(c1 / (n1 + 1)) - F.log(c0 / (n - n1 + 1))
+        shrunk_odds = F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - SHRINK * F.sqrt(1 / c1 + 1 / c0))
+        strong = counts.filter((F.col("feature") != "") & (F.col(f"{t}_n") >= MIN_DOCS)).select("feature", shrunk_odds.alias("odds")).filter(F.abs("odds") >= MIN_LOG_ODDS)
         # absence of a common word says little of a text in another language: only what speaks for the target, or shape, counts
         strong = strong.filter((F.col("odds") > 0) | F.col("feature").startswith("="))
         models[t] = {"prior": math.log(n1 / (n - n1)), "odds": dict(strong.orderBy(F.desc(F.abs("odds")), "feature").limit(max_features).collect())}
@@ -124,7 +126,7 @@ def evidence(text: str | None, models: dict[str, dict]) -> list[float]:
     return out
 
 
-def shrunk(sites: DataFrame, by: list[str], target: str, upper: Column) -> DataFrame:
+def shrunk(sites: DataFrame, target: str, upper: Column) -> DataFrame:
     """sites (n, s: documents and sum of their probabilities) with rate: s / n shrunk toward upper by a weight estimated from all sites."""
     n, mean = F.col("n"), F.col(f"s_{target}") / F.col("n")
     # moments: variance between sites beyond that of so many draws each
@@ -136,11 +138,26 @@ def shrunk(sites: DataFrame, by: list[str], target: str, upper: Column) -> DataF
     return sites.withColumn(f"rate_{target}", (F.col(f"s_{target}") + weight * upper) / (n + weight))
 
 
+def site_rates(rated: DataFrame) -> DataFrame:
+    """(host, path, rate_low, rate_toxic) from the documents' probabilities p_low and p_toxic."""
+    sums = lambda c: [F.sum(c.format(t)).alias(f"s_{t}") for t in TARGETS]
+    paths = keep(rated.groupBy("host", "path").agg(F.count("*").alias("n"), *sums("p_{}")))
+    hosts = keep(paths.groupBy("host").agg(F.sum("n").alias("n"), *sums("s_{}")))
+    world = hosts.agg(F.sum("n").alias("n"), *sums("s_{}")).first()
+    for t in TARGETS:
+        hosts = shrunk(hosts, t, F.lit((world[f"s_{t}"] or 0.0) / (world["n"] or 1)))
+    priors = paths.join(hosts.select("host", *(F.col(f"rate_{t}").alias(f"up_{t}") for t in TARGETS)), "host")
+    for t in TARGETS:
+        priors = shrunk(priors, t, F.col(f"up_{t}"))
+    return keep(priors.select("host", "path", *(f"rate_{t}" for t in TARGETS)))
+
+
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, quality_col: str = "quality", toxic_col: str = "toxic",
-    max_fit_docs: int = 20_000, max_features: int = 20_000, cutoff: float = 0.5,
+    max_fit_docs: int = 20_000, max_features: int = 20_000, cutoff: float = 0.5, rounds: int = 4,
 ) -> DataFrame:
     """(id, host, path, p_low, p_toxic, kept) for each row: posterior probabilities that it is low or toxic; kept if both are below cutoff.
+    rounds: how often the sites' rates are estimated anew from the posteriors that they led to.
     host, path: where a document is from, coarse and fine; the columns source and lang by default."""
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
@@ -155,21 +172,16 @@ def classify(
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *(pa.array([s[k] for s in scores], pa.float64()) for k in range(len(TARGETS)))], names=["doc", "host", "path", *(f"e_{t}" for t in TARGETS)])
 
     kind = rows.schema["doc"].dataType.simpleString()
-    rated = keep(rows.mapInArrow(rate, f"doc {kind}, host string, path string, e_low double, e_toxic double"))
+    rated = keep(arrow_map(rows, rate, f"doc {kind}, host string, path string, e_low double, e_toxic double"))
     logistic = lambda x: 1 / (1 + F.exp(-x))
-    sums = [F.sum(logistic(F.col(f"e_{t}"))).alias(f"s_{t}") for t in TARGETS]
-    paths = keep(rated.groupBy("host", "path").agg(F.count("*").alias("n"), *sums))
-    hosts = keep(paths.groupBy("host").agg(F.sum("n").alias("n"), *(F.sum(f"s_{t}").alias(f"s_{t}") for t in TARGETS)))
-    world = hosts.agg(F.sum("n").alias("n"), *(F.sum(f"s_{t}").alias(f"s_{t}") for t in TARGETS)).first()
-    for t in TARGETS:
-        hosts = shrunk(hosts, ["host"], t, F.lit((world[f"s_{t}"] or 0.0) / (world["n"] or 1)))
-    priors = paths.join(hosts.select("host", *(F.col(f"rate_{t}").alias(f"up_{t}") for t in TARGETS)), "host")
-    for t in TARGETS:
-        priors = shrunk(priors, ["host", "path"], t, F.col(f"up_{t}"))
-    priors = keep(priors.select("host", "path", *(f"rate_{t}" for t in TARGETS)))
-    out = rated.join(small(priors, 100_000), ["host", "path"], "left")
-    for t in TARGETS:
-        p = F.least(F.greatest(F.col(f"rate_{t}"), F.lit(1e-6)), F.lit(1 - 1e-6))
-        posterior = logistic(F.col(f"e_{t}") - F.lit(models[t]["prior"]) + F.log(p / (1 - p)))
-        out = out.withColumn(f"p_{t}", posterior if models[t]["odds"] else F.lit(0.0))
-    return out.select(F.col("doc").alias(id_col), "host", "path", *(f"p_{t}" for t in TARGETS), ((F.col("p_low") < cutoff) & (F.col("p_toxic") < cutoff)).alias("kept"))
+    logit = lambda p: F.log(p / (1 - p))
+    priors = None
+    for k in range(rounds + 1):
+        now = rated if priors is None else rated.join(small(priors, 100_000), ["host", "path"], "left")
+        for t in TARGETS:
+            prior = F.lit(models[t]["prior"])
+            shift = F.lit(0.0) if priors is None else logit(F.least(F.greatest(F.col(f"rate_{t}"), F.lit(1e-6)), F.lit(1 - 1e-6))) - prior
+            now = now.withColumn(f"p_{t}", logistic(F.col(f"e_{t}") + shift) if models[t]["odds"] else F.lit(0.0))
+        if k < rounds:
+            priors = site_rates(now)
+    return now.select(F.col("doc").alias(id_col), "host", "path", *(f"p_{t}" for t in TARGETS), ((F.col("p_low") < cutoff) & (F.col("p_toxic") < cutoff)).alias("kept"))

@@ -98,8 +98,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     chosen = keep(cutoffs(measured.filter(~base_failed), labels.select(F.col(id_col).alias("doc"), F.col(label_col).alias("good")), alpha, delta))
     # a row for each stratum; the join on stratum is by broadcast where there are few of them
-    by_stratum = chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{r}_cutoff") for r in GRID))
-    scored = measured.join(F.broadcast(by_stratum) if chosen.count() <= 100_000 else by_stratum, measured["stratum"].eqNullSafe(by_stratum["stratum"]), "left").drop(by_stratum["stratum"])
+    by_stratum = chosen.withColumnRenamed("stratum", "of_stratum").groupBy("of_stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{r}_cutoff") for r in GRID))
+    scored = measured.join(F.broadcast(by_stratum) if chosen.count() <= 100_000 else by_stratum, F.col("stratum").eqNullSafe(F.col("of_stratum")), "left")
     failed = F.array_compact(F.array(*(F.when(c > F.col(f"{r}_cutoff"), F.lit(r)) for r, c in scores().items())))
     out = scored.withColumn("base_failed", base_failed).withColumn("failed_rules", failed)
     return out.select(F.col("doc").alias(id_col), "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))

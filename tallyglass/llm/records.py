@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .bpe import ODD_SPACE, Memo
-from .common import fresh_path, small
+from .common import arrow_map, fresh_path, small
 
 #: Words for a tokenizer that drops space: letters and digits before a dot, a comma or a space, or all up to the next space.
 WORD = re.compile(r"[^\W_]+(?=[.,\s]|$)|\S+")
@@ -53,7 +53,7 @@ def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:
 
 def frames(data: bytes):
     """(offset, length, id, token ids) of each frame of a file or part of one; raises ValueError where a checksum is wrong."""
-    at, view = 0, memoryview(data)
+    at, view = 0, memoryview(data).cast("B")
     while at < len(view):
         size = bytes(view[at : at + 8])
         n = struct.unpack("<Q", size)[0]
@@ -132,7 +132,7 @@ def write_records(docs: DataFrame, root: str, tokenizer_path: str, end_id: int,
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / file_text_bytes))
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(n, "id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(framed, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{root}/records")
+    arrow_map(ordered, framed, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{root}/records")
 
 
 def record_files(spark: SparkSession, root: str) -> DataFrame:
@@ -153,7 +153,7 @@ def write_index(spark: SparkSession, root: str) -> DataFrame:
                     start += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.int64()) for k in range(7)], names=["file", "offset", "length", "doc_id", "n_tokens", "ids_crc32", "start_in_file"])
 
-    record_files(spark, root).mapInArrow(scan, "file int, offset long, length long, doc_id long, n_tokens long, ids_crc32 long, start_in_file long").write.parquet(f"{root}/index")
+    arrow_map(record_files(spark, root), scan, "file int, offset long, length long, doc_id long, n_tokens long, ids_crc32 long, start_in_file long").write.parquet(f"{root}/index")
     return spark.read.parquet(f"{root}/index")
 
 
@@ -176,7 +176,7 @@ def read_sequences(spark: SparkSession, root: str, wanted: DataFrame | None = No
                 got = [next(frames(data[p["offset"] : p["offset"] + p["length"]])) for p in places]
                 yield pa.RecordBatch.from_arrays([pa.array([g[2] for g in got], pa.int64()), pa.array([g[3].tolist() for g in got], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return files.join(places, "file").select("content", "places").mapInArrow(pick, "doc_id long, ids array<long>")
+    return arrow_map(files.join(places, "file").select("content", "places"), pick, "doc_id long, ids array<long>")
 
 
 def encode_to_records(docs: DataFrame, tokenizer_path: str, end_id: int = 1, root: str | None = None) -> DataFrame:

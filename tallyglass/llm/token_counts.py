@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import PATTERN, Memo, Vocabulary, pieces, vocabulary
+from .common import arrow_map
 
 
 def merged_length(word: bytes, v: Vocabulary) -> int:
@@ -71,4 +72,4 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(count, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(docs.select(id_col, text_col), count, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
