@@ -1,9 +1,10 @@
 """Quality classifier by hierarchical empirical Bayes.
 
 A document's evidence is a naive Bayes classifier's: whole words and their prefixes, and bins of some measures of its
-shape, each with the log odds that labelled documents give it. There are two targets, low quality and toxicity. The
-odds are fitted on a bounded sample of labelled documents (max_fit_docs, the first by the hash of their ids); everything
-else covers all rows.
+shape, each with the log odds that labelled documents give it. Its sum is calibrated on labelled documents that had no
+part in these odds: a likelihood ratio for each bin of the sum. There are two targets, low quality and toxicity. Both
+fits use a bounded sample of labelled documents (max_fit_docs, the first by the hash of their ids; a quarter for calibration);
+everything else covers all rows.
 
 Sites then lend each other strength. From the evidence of all documents come the global rate of a target, and rates of
 hosts and of paths within hosts, by grouped sums. A host's rate is shrunk toward the global one, a path's toward its
@@ -20,6 +21,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -36,7 +38,7 @@ WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
 #: A feature counts if it is in at least so many labelled documents. Its log odds are shrunk toward 0 by so many standard
 #: errors, so that chance finds vanish, and must be at least so large then.
-MIN_DOCS, SHRINK, MIN_LOG_ODDS = 5, 3.0, 0.5
+MIN_DOCS, SHRINK, MIN_LOG_ODDS = 5, 2.5, 0.5
 #: A text is looked through in stretches of about so many characters, cut at space.
 STRETCH = 1 << 20
 
@@ -73,30 +75,31 @@ def shape_features(text: str) -> list[str]:
     return [f"={name}:{min(20, int(x))}" for name, x in measures.items()]
 
 
-def features(text: str | None) -> list[str]:
-    return [*word_features(text or ""), *shape_features(text or "")]
+def labelled(docs: DataFrame, labels: DataFrame, max_fit_docs: int) -> DataFrame:
+    """(text, low, toxic, held) of a bounded sample of labelled documents; a quarter is held out for calibration."""
+    chosen = labels.filter("doc is not null").groupBy("doc").agg(*(F.max(t).alias(t) for t in TARGETS)).orderBy(F.xxhash64("doc")).limit(max_fit_docs)
+    chosen = keep(chosen.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc"), F.lit(4)) == 0))
+    return docs.join(small(chosen, max_fit_docs), "doc").select("text", *TARGETS, "held")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int, max_features: int) -> dict[str, dict]:
-    """For each target its log prior odds and the log odds of its features (of at most max_features, the strongest).
-    docs: doc, text; labels: doc, low, toxic (0 or 1, null if unknown)."""
-    chosen = keep(labels.filter("doc is not null").groupBy("doc").agg(*(F.max(t).alias(t) for t in TARGETS)).orderBy(F.xxhash64("doc")).limit(max_fit_docs))
-    sample = docs.join(small(chosen, max_fit_docs), "doc").select("text", *TARGETS)
+def fit(sample: DataFrame, max_features: int) -> dict[str, dict]:
+    """For each target the rate among labelled documents and the log odds of its features (of at most max_features, the strongest)."""
 
     def explode(batches):
         for b in batches:
             for t, *y in zip(*(b.column(k).to_pylist() for k in range(1 + len(TARGETS))), strict=True):
-                f = [*features(t), ""]  # "" is in each document
+                f = [*word_features(t or ""), *shape_features(t or ""), ""]  # "" is in each document
                 yield pa.RecordBatch.from_arrays([pa.array(f), *(pa.array([v] * len(f), pa.int32()) for v in y)], names=["feature", *TARGETS])
 
     ones = [F.sum(F.col(t)).alias(f"{t}_1") for t in TARGETS]
     known = [F.count(F.col(t)).alias(f"{t}_n") for t in TARGETS]
-    counts = keep(arrow_map(sample, explode, "feature string, low int, toxic int").groupBy("feature").agg(*ones, *known).filter(" or ".join(f"{t}_n >= {MIN_DOCS}" for t in TARGETS)))
+    often = " or ".join(f"{t}_n >= {MIN_DOCS}" for t in TARGETS)
+    counts = keep(arrow_map(sample.filter("not held").select("text", *TARGETS), explode, "feature string, low int, toxic int").groupBy("feature").agg(*ones, *known).filter(f"{often} or feature = ''"))
     total = counts.filter("feature = ''").first()
     models = {}
     for t in TARGETS:
         n1, n = (total[f"{t}_1"] or 0, total[f"{t}_n"]) if total else (0, 0)
-        models[t] = {"prior": 0.0, "odds": {}}
+        models[t] = {"rate": n1 / n if n else 0.0, "odds": {}, "bins": []}
         if not n1 or n1 == n:
             continue
         # counts with a pseudo count of one document in all, spread over both kinds as they are
@@ -106,14 +109,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int, max_features: int
         strong = counts.filter((F.col("feature") != "") & (F.col(f"{t}_n") >= MIN_DOCS)).select("feature", shrunk_odds.alias("odds")).filter(F.abs("odds") >= MIN_LOG_ODDS)
         # absence of a common word says little of a text in another language: only what speaks for the target, or shape, counts
         strong = strong.filter((F.col("odds") > 0) | F.col("feature").startswith("="))
-        models[t] = {"prior": math.log(n1 / (n - n1)), "odds": dict(strong.orderBy(F.desc(F.abs("odds")), "feature").limit(max_features).collect())}
+        models[t]["odds"] = dict(strong.orderBy(F.desc(F.abs("odds")), "feature").limit(max_features).collect())
     return models
 
 
-def evidence(text: str | None, models: dict[str, dict]) -> list[float]:
-    """Log odds of each target given the text alone: of overlapping features (a word and its prefixes) the strongest counts."""
-    found = word_features(text or "")
-    shape = shape_features(text or "")
+def score(text: str | None, models: dict[str, dict]) -> list[float]:
+    """Sum of log odds of each target: of overlapping features (a word and its prefixes) the strongest counts."""
+    found, shape = word_features(text or ""), shape_features(text or "")
     out = []
     for t in TARGETS:
         odds = models[t]["odds"]
@@ -122,18 +124,55 @@ def evidence(text: str | None, models: dict[str, dict]) -> list[float]:
             if (x := odds.get(f)) is not None:
                 g = f[: PREFIXES[0]]
                 groups[g] = max(x, groups.get(g, 0.0))
-        out.append(models[t]["prior"] + sum(groups.values()) + sum(odds.get(f, 0.0) for f in shape))
+        out.append(sum(groups.values()) + sum(odds.get(f, 0.0) for f in shape))
+    return out
+
+
+def calibrate(sample: DataFrame, models: dict[str, dict]) -> None:
+    """Gives each target its bins: (lowest score, log likelihood ratio) by what documents apart from the fitted ones have
+    there; neighbouring bins are pooled until the ratio rises with the score."""
+    shared = sample.sparkSession.sparkContext.broadcast(models)
+
+    def rate(batches):
+        for b in batches:
+            scores = [score(t.as_py(), shared.value) for t in b.column(0)]
+            bins = [[max(-10, min(20, math.floor(x[k]))) for x in scores] for k in range(len(TARGETS))]
+            yield pa.RecordBatch.from_arrays([*(b.column(1 + k) for k in range(len(TARGETS))), *(pa.array(x, pa.int32()) for x in bins)], names=[*TARGETS, *(f"b_{t}" for t in TARGETS)])
+
+    binned = arrow_map(sample.filter("held").select("text", *TARGETS), rate, "low int, toxic int, b_low int, b_toxic int")
+    counts = binned.groupBy(*(f"b_{t}" for t in TARGETS), *TARGETS).count().collect()  # 31 bins of each target at most
+    for t in TARGETS:
+        by_bin: dict[int, list[float]] = {}
+        for r in counts:
+            if r[t] is not None:
+                by_bin.setdefault(r[f"b_{t}"], [0.0, 0.0])[1 - r[t]] += r["count"]
+        n1, n0 = (sum(c[k] for c in by_bin.values()) for k in (0, 1))
+        pooled: list[list[float]] = []
+        for x, (c1, c0) in sorted(by_bin.items()):
+            pooled.append([x, c1, c0])
+            while len(pooled) > 1 and pooled[-2][1] * pooled[-1][2] >= pooled[-1][1] * pooled[-2][2]:
+                _, c1, c0 = pooled.pop()
+                pooled[-1][1] += c1
+                pooled[-1][2] += c0
+        if n1 and n0:
+            models[t]["bins"] = [(x, math.log((c1 + 0.5) / (n1 + 1)) - math.log((c0 + 0.5) / (n0 + 1))) for x, c1, c0 in pooled]
+
+
+def evidence(text: str | None, models: dict[str, dict]) -> list[float]:
+    """Log likelihood ratio of each target given the text alone."""
+    out = []
+    for t, x in zip(TARGETS, score(text, models), strict=True):
+        bins = models[t]["bins"]
+        out.append(bins[max(0, bisect.bisect_right(bins, (x, math.inf)) - 1)][1] if bins else 0.0)
     return out
 
 
 def shrunk(sites: DataFrame, target: str, upper: Column) -> DataFrame:
-    """sites (n, s: documents and sum of their probabilities) with rate: s / n shrunk toward upper by a weight estimated from all sites."""
+    """sites (n, s_target: documents and the sum of their probabilities) with rate_target: s / n shrunk toward upper by a weight estimated from all sites."""
     n, mean = F.col("n"), F.col(f"s_{target}") / F.col("n")
     # moments: variance between sites beyond that of so many draws each
-    between = sites.agg(
-        F.sum(n * F.pow(mean - upper, 2)).alias("spread"), F.sum(upper * (1 - upper)).alias("chance"), F.sum(n * upper * (1 - upper)).alias("scale"), F.count("*").alias("k")
-    ).first()
-    extra = ((between["spread"] or 0.0) - (between["chance"] or 0.0)) / between["scale"] if between["scale"] else 0.0
+    moments = sites.agg(F.sum(n * F.pow(mean - upper, 2)).alias("spread"), F.sum(upper * (1 - upper)).alias("chance"), F.sum(n * upper * (1 - upper)).alias("scale")).first()
+    extra = ((moments["spread"] or 0.0) - (moments["chance"] or 0.0)) / moments["scale"] if moments["scale"] else 0.0
     weight = min(1e6, max(1.0, 1 / extra - 1)) if extra > 1e-6 else 1e6
     return sites.withColumn(f"rate_{target}", (F.col(f"s_{target}") + weight * upper) / (n + weight))
 
@@ -162,7 +201,9 @@ def classify(
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
     bad = (F.col(quality_col) == 0).cast("int")
-    models = fit(rows.select("doc", "text"), labels.select(F.col(id_col).alias("doc"), bad.alias("low"), F.col(toxic_col).cast("int").alias("toxic")), max_fit_docs, max_features)
+    sample = labelled(rows.select("doc", "text"), labels.select(F.col(id_col).alias("doc"), bad.alias("low"), F.col(toxic_col).cast("int").alias("toxic")), max_fit_docs)
+    models = fit(sample, max_features)
+    calibrate(sample, models)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def rate(batches):
@@ -179,9 +220,9 @@ def classify(
     for k in range(rounds + 1):
         now = rated if priors is None else rated.join(small(priors, 100_000), ["host", "path"], "left")
         for t in TARGETS:
-            prior = F.lit(models[t]["prior"])
-            shift = F.lit(0.0) if priors is None else logit(F.least(F.greatest(F.col(f"rate_{t}"), F.lit(1e-6)), F.lit(1 - 1e-6))) - prior
-            now = now.withColumn(f"p_{t}", logistic(F.col(f"e_{t}") + shift) if models[t]["odds"] else F.lit(0.0))
+            prior = F.lit(models[t]["rate"]) if priors is None else F.col(f"rate_{t}")
+            prior = F.least(F.greatest(prior, F.lit(1e-6)), F.lit(1 - 1e-6))
+            now = now.withColumn(f"p_{t}", logistic(F.col(f"e_{t}") + logit(prior)) if models[t]["bins"] else F.lit(0.0))
         if k < rounds:
             priors = site_rates(now)
     return now.select(F.col("doc").alias(id_col), "host", "path", *(f"p_{t}" for t in TARGETS), ((F.col("p_low") < cutoff) & (F.col("p_toxic") < cutoff)).alias("kept"))

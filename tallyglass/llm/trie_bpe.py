@@ -13,7 +13,8 @@ their ids; repeated rows give repeated results; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from itertools import batched, chain
+from array import array
+from itertools import accumulate, batched, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -122,6 +123,13 @@ class TrieEncoder:
         return ids
 
 
+class Packer(TrieEncoder):
+    """Holds the ids of each piece as bytes of 4 each."""
+
+    def made(self, ids):
+        return array("i", ids).tobytes()
+
+
 class Digester(TrieEncoder):
     """Holds for each piece the number of its ids, their decimal text and the bytes that they decode to."""
 
@@ -146,10 +154,12 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """(id, ids array<int>) for each row. vocabulary_path must be readable on every executor."""
 
     def run(batches):
-        enc = _encoder(TrieEncoder, vocabulary_path)
+        enc = _encoder(Packer, vocabulary_path)
         for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            ids = [[i for p in parts for i in p] for parts in enc.encode([t or "" for t in b.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
+            ids = [b"".join(parts) for parts in enc.encode([t or "" for t in b.column(1).to_pylist()])]
+            ends = pa.array(accumulate(map(len, ids), lambda at, n: at + n // 4, initial=0), pa.int32())
+            flat = pa.Array.from_buffers(pa.int32(), sum(map(len, ids)) // 4, [None, pa.py_buffer(b"".join(ids))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, flat)], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>")
