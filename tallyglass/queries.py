@@ -1,4 +1,392 @@
-"""Catalogue of queries and the SQL that each must equal."""
+"""Catalogue of queries, each over its whole tables, and the SQL that each must equal."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyglass.functions.text import extract_batch_sql, extract_sql, without_ansi
+from tallyglass.operators import reports
+from tallyglass.operators.charts import ChartSpec, chart_data, chart_type
+from tallyglass.operators.matching import HARD, hardness, multiset_difference
+from tallyglass.operators.measures import by_dimension, total
+from tallyglass.plans.ask import ask
+from tallyglass.plans.router import intent, plan, route
+from tallyglass.sources.tables import TABLES, schema_rows
+from tallyglass.streaming.questions import routed
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Questions in both languages: each analysis and each chart is asked for.
+QUESTIONS = [
+    "Show monthly revenue in 1997",
+    "Revenue by product category",
+    "Revenue by region",
+    "Top 5 best-selling products",
+    "Revenue by customer",
+    "Top 5 sản phẩm bán chạy nhất tháng 12?",
+    "Doanh thu theo từng khu vực trong Q3?",
+    "So sánh số lượng đơn hàng giữa các năm",
+    "best sellers, pie",
+    "scatter of quantity",
+    "stop list",
+    "tỷ lệ doanh thu theo danh mục",
+]
+#: Queries of each difficulty.
+GRADED = [
+    "SELECT a FROM t",
+    "SELECT a FROM t WHERE b > 1",
+    "SELECT a, COUNT(*) FROM t GROUP BY a",
+    "SELECT a FROM t JOIN u ON t.k = u.k ORDER BY a",
+    "SELECT a FROM t WHERE k IN (SELECT k FROM u)",
+    "SELECT a FROM t WHERE k IN (SELECT k FROM u) ORDER BY a",
+    "SELECT a FROM t JOIN u ON t.k = u.k GROUP BY a HAVING COUNT(*) > 1",
+    "SELECT a FROM t UNION SELECT a FROM u EXCEPT SELECT a FROM v",
+]
+#: Model output in the shapes that it comes in.
+OUTPUTS = [
+    "SELECT a FROM t;",
+    "```sql SELECT a FROM t; ```",
+    "``` SELECT b FROM t ```",
+    "SELECT Based on the tables, to find it: ```SQL select c from t ```",
+    "The answer is SELECT d FROM t. It counts rows.",
+    "e FROM t WHERE x = 1",
+    "  SELECT   f  FROM   t  ",
+]
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL that it must equal."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
+
+
+def _values(spark: SparkSession, texts: list[str], name: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(texts)), f"idx int, {name} string")
+
+
+def _sql_values(texts: list[str], name: str) -> str:
+    rows = ", ".join(f"({k}, '" + t.replace("'", "''") + "')" for k, t in enumerate(texts))
+    return f"(VALUES {rows}) AS v(idx, {name})"
+
+
+MONEY = "CAST(o_totalprice AS DECIMAL(18,2))"
+LINE = "CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))"
+STAR = ("region", "nation", "customer", "part", "orders", "lineitem")
+
+
+@query("SELECT COUNT(*) AS n_customers FROM customer")
+def count_customers(spark, folder):
+    return _t(spark, folder, "customer")["customer"].agg(F.count("*").alias("n_customers"))
+
+
+@query(f"SELECT CAST(SUM({MONEY}) AS DOUBLE) AS total_revenue FROM orders")
+def total_revenue(spark, folder):
+    return total(_t(spark, folder, *STAR), "order_revenue")
+
+
+@query("SELECT DISTINCT p_type AS category FROM part")
+def list_categories(spark, folder):
+    return _t(spark, folder, "part")["part"].select(F.col("p_type").alias("category")).distinct()
+
+
+BY_REGION = f"""SELECT r_name AS region_name, CAST(SUM({MONEY}) AS DOUBLE) AS total_revenue FROM orders
+    JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"""
+BY_MONTH = f"SELECT strftime(o_orderdate, '%m') AS month, CAST(SUM({MONEY}) AS DOUBLE) AS monthly_revenue FROM orders WHERE year(o_orderdate) = 1997 GROUP BY month"
+BY_CATEGORY = f"SELECT p_type AS category, CAST(SUM({LINE}) AS DOUBLE) AS total_revenue FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type"
+BY_CUSTOMER = f"SELECT c_name AS customer_name, CAST(SUM({MONEY}) AS DOUBLE) AS total_revenue FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name"
+TOP = """SELECT p_name AS product_name, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS total_qty FROM lineitem JOIN part ON l_partkey = p_partkey
+    GROUP BY p_name ORDER BY total_qty DESC, product_name LIMIT 5"""
+
+
+@query(f"{BY_REGION} ORDER BY total_revenue DESC")
+def revenue_by_region(spark, folder):
+    return plan(_t(spark, folder, *STAR), intent("region"))
+
+
+@query(f"{BY_MONTH} ORDER BY month")
+def monthly_revenue(spark, folder):
+    return plan(_t(spark, folder, *STAR), intent("month"))
+
+
+@query(f"{BY_CATEGORY} ORDER BY total_revenue DESC")
+def revenue_by_category(spark, folder):
+    return plan(_t(spark, folder, *STAR), intent("category"))
+
+
+@query(f"{BY_CUSTOMER} ORDER BY total_revenue DESC")
+def revenue_by_customer(spark, folder):
+    return plan(_t(spark, folder, *STAR), intent("customer"))
+
+
+@query(TOP)
+def top5_products(spark, folder):
+    return plan(_t(spark, folder, *STAR), intent("top"))
+
+
+@query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 10")
+def sample_orders(spark, folder):
+    return plan(_t(spark, folder, *STAR), intent("default"))
+
+
+@query("""SELECT n_name AS nation_name, COUNT(*) AS n_orders FROM orders JOIN customer ON o_custkey = c_custkey
+    JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+def orders_by_nation(spark, folder):
+    return by_dimension(_t(spark, folder, *STAR), "orders", "nation")
+
+
+@query("SELECT o_custkey, COUNT(*) AS n_orders FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12")
+def having_frequent_customers(spark, folder):
+    return _t(spark, folder, "orders")["orders"].groupBy("o_custkey").agg(F.count("*").alias("n_orders")).filter("n_orders > 12")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+def not_in_big_spenders(spark, folder):
+    t = _t(spark, folder, "customer", "orders")
+    big = t["orders"].filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return t["customer"].select("c_custkey", "c_name").join(big, "c_custkey", "left_anti")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def exists_customers(spark, folder):
+    t = _t(spark, folder, "customer", "orders")
+    return t["customer"].select("c_custkey", "c_name").join(t["orders"].filter("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+
+
+ABOVE = """SELECT o_orderkey, o_custkey, o_totalprice FROM orders o WHERE CAST(o_totalprice AS DECIMAL(18,2)) >
+    (SELECT SUM(CAST(i.o_totalprice AS DECIMAL(18,2))) FROM orders i WHERE i.o_custkey = o.o_custkey) / (SELECT COUNT(*) FROM orders i WHERE i.o_custkey = o.o_custkey)"""
+
+
+@query(ABOVE)
+def above_own_average(spark, folder):
+    orders = _t(spark, folder, "orders")["orders"]
+    own = orders.groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("s"), F.count("*").alias("n"))
+    return orders.join(own, "o_custkey").filter(F.col("o_totalprice").cast("decimal(18,2)") * F.col("n") > F.col("s")).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT c_nationkey AS nationkey FROM customer UNION SELECT s_nationkey AS nationkey FROM supplier")
+def union_keys(spark, folder):
+    t = _t(spark, folder, "customer", "supplier")
+    return t["customer"].select(F.col("c_nationkey").alias("nationkey")).union(t["supplier"].select("s_nationkey")).distinct()
+
+
+@query("SELECT c_nationkey AS nationkey FROM customer UNION ALL SELECT s_nationkey AS nationkey FROM supplier")
+def union_all_keys(spark, folder):
+    t = _t(spark, folder, "customer", "supplier")
+    return t["customer"].select(F.col("c_nationkey").alias("nationkey")).union(t["supplier"].select("s_nationkey"))
+
+
+@query("SELECT c_nationkey AS nationkey FROM customer INTERSECT SELECT s_nationkey AS nationkey FROM supplier")
+def intersect_nations(spark, folder):
+    t = _t(spark, folder, "customer", "supplier")
+    return t["customer"].select(F.col("c_nationkey").alias("nationkey")).intersect(t["supplier"].select("s_nationkey"))
+
+
+@query("SELECT c_nationkey AS nationkey FROM customer EXCEPT SELECT s_nationkey AS nationkey FROM supplier WHERE s_acctbal > 5000")
+def except_nations(spark, folder):
+    t = _t(spark, folder, "customer", "supplier")
+    return t["customer"].select(F.col("c_nationkey").alias("nationkey")).subtract(t["supplier"].filter("s_acctbal > 5000").select("s_nationkey"))
+
+
+@query("SELECT c_custkey, COUNT(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def left_join_counts(spark, folder):
+    t = _t(spark, folder, "customer", "orders")
+    counted = t["orders"].groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("o_orderkey").alias("n"))
+    return t["customer"].select("c_custkey").join(counted, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"))
+
+
+@query("SELECT COUNT(DISTINCT o_custkey) AS n_customers FROM orders")
+def count_distinct_customers(spark, folder):
+    return _t(spark, folder, "orders")["orders"].agg(F.countDistinct("o_custkey").alias("n_customers"))
+
+
+@query("""SELECT c_mktsegment, MIN(c_acctbal) AS least, MAX(c_acctbal) AS most, COUNT(*) AS n,
+    CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS average FROM customer GROUP BY c_mktsegment""")
+def segment_balances(spark, folder):
+    c = F.col("c_acctbal")
+    return _t(spark, folder, "customer")["customer"].groupBy("c_mktsegment").agg(F.min(c).alias("least"), F.max(c).alias("most"), F.count("*").alias("n"), (F.sum(c.cast("decimal(18,2)")).cast("double") / F.count("*")).alias("average"))
+
+
+@query("""SELECT r_name AS region_name, STRING_AGG(n_name, ',' ORDER BY n_name) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+def nations_of_regions(spark, folder):
+    t = _t(spark, folder, "nation", "region")
+    names = F.array_join(F.array_sort(F.collect_list("n_name")), ",")
+    return t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("region_name")).agg(names.alias("nations"))
+
+
+@query("""SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE (o_totalprice BETWEEN 1000 AND 50000 AND o_orderstatus IN ('F', 'P')) OR o_orderpriority IS NULL""")
+def where_mixed(spark, folder):
+    where = (F.col("o_totalprice").between(1000, 50000) & F.col("o_orderstatus").isin("F", "P")) | F.col("o_orderpriority").isNull()
+    return _t(spark, folder, "orders")["orders"].filter(where).select("o_orderkey", "o_totalprice", "o_orderpriority")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 300000 THEN 'large' WHEN o_totalprice >= 100000 THEN 'middle' ELSE 'small' END AS size, CAST(o_orderkey AS VARCHAR) AS key_text FROM orders")
+def case_and_cast(spark, folder):
+    p = F.col("o_totalprice")
+    return _t(spark, folder, "orders")["orders"].select("o_orderkey", F.when(p >= 300000, "large").when(p >= 100000, "middle").otherwise("small").alias("size"), F.col("o_orderkey").cast("string").alias("key_text"))
+
+
+@query("SELECT CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue FROM orders WHERE o_totalprice < 0")
+def sum_empty(spark, folder):
+    return total({"orders": _t(spark, folder, "orders")["orders"].filter("o_totalprice < 0")}, "order_revenue")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment ILIKE 'buil%'")
+def ilike_segment(spark, folder):
+    return _t(spark, folder, "customer")["customer"].filter(F.col("c_mktsegment").ilike("buil%")).select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT c_custkey, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS INT) AS place FROM customer")
+def rank_in_nation(spark, folder):
+    return _t(spark, folder, "customer")["customer"].selectExpr("c_custkey", "rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS place")
+
+
+@query(f"WITH q AS ({BY_REGION}) SELECT region_name AS label, total_revenue AS value, total_revenue / (SELECT CAST(SUM({MONEY}) AS DOUBLE) FROM orders) AS share FROM q")
+def pie_share(spark, folder):
+    # the whole is summed as decimals, like the parts
+    t = _t(spark, folder, *STAR)
+    whole = total(t, "order_revenue").withColumnRenamed("total_revenue", "whole")
+    data = chart_data(revenue_by_region(spark, folder), ChartSpec("pie", "region_name", "total_revenue")).drop("share")
+    return data.crossJoin(F.broadcast(whole)).select("label", "value", F.try_divide("value", "whole").alias("share"))
+
+
+@query(f"WITH q AS ({BY_MONTH}) SELECT month AS label, monthly_revenue AS value, row_number() OVER (ORDER BY month) - 1 AS pos FROM q")
+def line_positions(spark, folder):
+    return chart_data(monthly_revenue(spark, folder), ChartSpec("line", "month", "monthly_revenue")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"WITH q AS ({BY_CATEGORY}) SELECT category AS label, total_revenue AS value FROM q")
+def bar_labels(spark, folder):
+    return chart_data(revenue_by_category(spark, folder), ChartSpec("bar", "category", "total_revenue"))
+
+
+@query("SELECT p_size AS x, MAX(p_retailprice) AS y FROM part GROUP BY p_size")
+def scatter_points(spark, folder):
+    sizes = _t(spark, folder, "part")["part"].groupBy("p_size").agg(F.max("p_retailprice").alias("price"))
+    return chart_data(sizes, ChartSpec("scatter", "p_size", "price"))
+
+
+def _sql_count(column: str, words: list[str]) -> str:
+    return "(" + " + ".join(f"CAST(contains(lower({column}), '{w}') AS INT)" for w in words) + ")"
+
+
+_N = _sql_count("q", HARD)
+HARDNESS_SQL = f"CASE WHEN {_N} = 0 AND n <= 1 THEN 'easy' WHEN {_N} <= 1 AND n <= 1 THEN 'medium' WHEN {_N} <= 2 THEN 'hard' ELSE 'extra' END"
+
+
+@query(f"SELECT idx, {HARDNESS_SQL} AS hardness FROM (SELECT idx, q, (length(q) - length(replace(lower(q), 'select', ''))) / 6 AS n FROM {_sql_values(GRADED, 'q')})")
+def hardness_classes(spark, folder):
+    return _values(spark, GRADED, "q").select("idx", hardness(F.col("q")).alias("hardness"))
+
+
+@query("""WITH c AS (SELECT COUNT(*) AS t, COUNT(*) FILTER (quality = 1 AND toxic = 1) AS b, COUNT(*) FILTER (quality = 1 AND toxic <> 1) AS x,
+    COUNT(*) FILTER (quality <> 1 AND toxic = 1) AS y, COUNT(*) FILTER (quality <> 1 AND toxic <> 1) AS z FROM labels)
+    SELECT 'both' AS outcome, b AS n, b * 100.0::DOUBLE / t AS percent FROM c UNION ALL SELECT 'only_a', x, x * 100.0::DOUBLE / t FROM c
+    UNION ALL SELECT 'only_b', y, y * 100.0::DOUBLE / t FROM c UNION ALL SELECT 'neither', z, z * 100.0::DOUBLE / t FROM c""")
+def agreement_report(spark, folder):
+    return reports.agreement(_t(spark, folder, "labels")["labels"], F.col("quality") == 1, F.col("toxic") == 1)
+
+
+@query("""SELECT lang AS "group", COUNT(*) AS n, COUNT(*) FILTER (quality = 1) * 100.0::DOUBLE / COUNT(*) AS a_percent, COUNT(*) FILTER (toxic = 1) * 100.0::DOUBLE / COUNT(*) AS b_percent
+    FROM labels JOIN documents USING (doc_id) GROUP BY lang""")
+def accuracy_by_group(spark, folder):
+    t = _t(spark, folder, "labels", "documents")
+    return reports.accuracy_by(t["labels"].join(t["documents"].select("doc_id", "lang"), "doc_id"), F.col("lang"), F.col("quality") == 1, F.col("toxic") == 1)
+
+
+@query("""SELECT COUNT(*) AS total, COUNT(*) FILTER (quality = 1) AS a_correct, COUNT(*) FILTER (toxic = 1) AS b_correct,
+    COUNT(*) FILTER (quality = 1) * 100.0::DOUBLE / COUNT(*) AS a_percent, COUNT(*) FILTER (toxic = 1) * 100.0::DOUBLE / COUNT(*) AS b_percent FROM labels""")
+def accuracy_report(spark, folder):
+    return reports.accuracy(_t(spark, folder, "labels")["labels"], F.col("quality") == 1, F.col("toxic") == 1)
+
+
+@query("""WITH a AS (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer GROUP BY k), b AS (SELECT s_nationkey AS k, COUNT(*) AS n FROM supplier GROUP BY k)
+    SELECT coalesce(a.k, b.k) AS _0, coalesce(a.n, 0) - coalesce(b.n, 0) AS surplus FROM a FULL JOIN b ON a.k = b.k WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
+def multiset_diff(spark, folder):
+    t = _t(spark, folder, "customer", "supplier")
+    return multiset_difference(t["customer"].select("c_nationkey"), t["supplier"].select("s_nationkey")).select(F.col("_0").cast("int"), "surplus")
+
+
+@query(f"""SELECT idx, trim(regexp_extract(raw, '(?is)```sql\\s*(.*?)[;\\s]*```', 1)) AS fenced FROM {_sql_values(OUTPUTS, 'raw')} WHERE raw ILIKE '%```sql%'""")
+def extract_fenced_sql(spark, folder):
+    rows = _values(spark, OUTPUTS, "raw").filter(F.col("raw").ilike("%```sql%"))
+    return rows.select("idx", extract_sql(F.col("raw")).alias("fenced"))
+
+
+EXTRACTED = ["SELECT a FROM t", "SELECT a FROM t", "SELECT b FROM t", "select c from t", "SELECT d FROM t", "SELECT e FROM t WHERE x = 1", "SELECT f FROM t"]
+
+
+@query(f"SELECT idx, sql FROM {_sql_values(EXTRACTED, 'sql')}")
+def extract_batch(spark, folder):
+    return _values(spark, OUTPUTS, "raw").select("idx", extract_batch_sql(F.col("raw")).alias("sql"))
+
+
+@query("SELECT conv_id, turn, regexp_replace(chr(27) || '[1;31m' || text || chr(27) || '[0m', chr(27) || '\\[[0-9;]*m', '', 'g') AS plain FROM conversations")
+def strip_ansi(spark, folder):
+    colored = F.concat(F.lit("\x1b[1;31m"), F.col("text"), F.lit("\x1b[0m"))
+    return _t(spark, folder, "conversations")["conversations"].select("conv_id", "turn", without_ansi(colored).alias("plain"))
+
+
+def _sql_any(column: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(nfc_normalize(lower({column})), '{w}')" for w in words) + ")"
+
+
+def _route_sql(column: str, compat: bool) -> str:
+    from tallyglass.plans.router import _order
+
+    return "CASE " + " ".join(f"WHEN {_sql_any(column, words)} THEN '{name}'" for name, words in _order(compat)) + " ELSE 'default' END"
+
+
+def _chart_sql(column: str) -> str:
+    from tallyglass.operators.charts import CHART_WORDS
+
+    return "CASE " + " ".join(f"WHEN {_sql_any(column, words)} THEN '{name}'" for name, words in CHART_WORDS) + " ELSE 'bar' END"
+
+
+@query(f"SELECT idx, {_route_sql('question', False)} AS route, {_route_sql('question', True)} AS compat_route FROM {_sql_values(QUESTIONS, 'question')}")
+def route_questions(spark, folder):
+    return _values(spark, QUESTIONS, "question").select("idx", route(F.col("question")).alias("route"), route(F.col("question"), compat=True).alias("compat_route"))
+
+
+@query(f"SELECT idx, {_chart_sql('question')} AS chart FROM {_sql_values(QUESTIONS, 'question')}")
+def chart_type_of_questions(spark, folder):
+    return _values(spark, QUESTIONS, "question").select("idx", chart_type(F.col("question")).alias("chart"))
+
+
+@query(f"SELECT conv_id, turn, {_route_sql('text', False)} AS route, {_chart_sql('text')} AS chart FROM conversations")
+def route_turns(spark, folder):
+    return routed(_t(spark, folder, "conversations")["conversations"]).select("conv_id", "turn", "route", "chart")
+
+
+@query()
+def schema_ddl(spark, folder):
+    return spark.createDataFrame(schema_rows(_t(spark, folder, *TABLES)), "table_name string, position int, column_name string, type string")
+
+
+def _ask(question: str) -> Query:
+    def run(spark, folder):
+        return ask(spark, _t(spark, folder, *STAR), question).data
+
+    return run
+
+
+QUERIES["ask_regions"] = _ask("Revenue by region")
+ORACLE_SQL["ask_regions"] = f"WITH q AS ({BY_REGION}) SELECT region_name AS label, total_revenue AS value FROM q"
+QUERIES["ask_months"] = _ask("Doanh thu theo tháng")
+ORACLE_SQL["ask_months"] = f"WITH q AS ({BY_MONTH}) SELECT month AS label, monthly_revenue AS value, CAST(row_number() OVER (ORDER BY month) - 1 AS INT) AS pos FROM q"
+QUERIES["ask_top_products"] = _ask("Top 5 best-selling products")
+ORACLE_SQL["ask_top_products"] = f"WITH q AS ({TOP}) SELECT product_name AS label, total_qty AS value FROM q"
