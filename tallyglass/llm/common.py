@@ -57,6 +57,13 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def free(name: str, taken: list[str]) -> str:
+    """name, or the first of name_, name__, ... that is no column of taken, whatever the case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, every other character left alone."""
     return F.translate(c, UPPER, LOWER)

@@ -53,7 +53,7 @@ def hits(docs: DataFrame, items: DataFrame, span: int, gram: int, window: int, m
     lengths = [r[0] for r in items.filter(F.size("item_words") < span).select(F.size("item_words")).distinct().collect()]  # span - 1 at most
     for n in lengths:
         short = keep(items.filter(F.size("item_words") == n).select("item", F.xxhash64(hashed(F.col("item_words"))).alias("print")))
-        own = docs.select("doc", F.posexplode(let(hashed(words), lambda h, n=n: grams(h, n))).alias("diagonal", "print"))
+        own = docs.select("doc", F.posexplode(let(hashed(words), lambda h: grams(h, n))).alias("diagonal", "print"))  # noqa: B023
         found = found.unionByName(own.join(small(short, max_broadcast_rows), "print").select("doc", "item", "diagonal").distinct())
     found = keep(found)
     pairs = found.join(small(items, max_broadcast_rows), "item")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, keep, small
+from .common import arrow_map, free, keep, small
 
 #: A piece ends after a line break, or after space that follows the end of a sentence.
 PIECE = re.compile(r"[^\n]*?(?:[.!?][ \t]+|\n)|[^\n]+$")
@@ -170,12 +170,14 @@ def copied_pieces(docs: DataFrame, min_words: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_broadcast_rows: int = 200_000) -> DataFrame:
     """docs with the text of each row less its copied blocks, and n_words_removed, n_words_left."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    gone = keep(copied_pieces(rows, min_words).select(F.col("doc").alias("_doc"), F.col("hash").alias("_hash"), F.col("gone").alias("_gone")))
+    names = [c for c in docs.columns if c not in ("n_words_removed", "n_words_left")]
+    of, named, places = (free(c, docs.columns) for c in ("copy_doc", "copy_hash", "copy_places"))
+    gone = keep(copied_pieces(rows, min_words).select(F.col("doc").alias(of), F.col("hash").alias(named), F.col("gone").alias(places)))
 
     def edit(batches):
         for b in batches:
             text, lost, left = [], [], []
-            for t, g in zip(b.column(text_col).to_pylist(), b.column("_gone").to_pylist(), strict=True):
+            for t, g in zip(b.column(text_col).to_pylist(), b.column(places).to_pylist(), strict=True):
                 n = len(t.split()) if t else 0
                 text.append(without(t, set(g)) if g and t else t)
                 left.append(len(text[-1].split()) if text[-1] else 0)
@@ -183,7 +185,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             kept = [pa.array(text, pa.string()) if c == text_col else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lost, pa.int64()), pa.array(left, pa.int64())], names=[*names, "n_words_removed", "n_words_left"])
 
-    names = [c for c in docs.columns if c not in ("n_words_removed", "n_words_left")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    joined = docs.select(names).join(small(gone, max_broadcast_rows), (F.col(id_col) == F.col("_doc")) & (F.xxhash64(text_col) == F.col("_hash")), "left").select(*names, "_gone")
+    joined = docs.select(names).join(small(gone, max_broadcast_rows), (F.col(id_col) == F.col(of)) & (F.xxhash64(text_col) == F.col(named)), "left").select(*names, places)
     return arrow_map(joined, edit, f"{fields}, n_words_removed long, n_words_left long")

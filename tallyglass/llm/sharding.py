@@ -117,7 +117,7 @@ def even_cuts(sums: PrefixSums, shards: int, capacity: int) -> list[int]:
         share = at + (sums.total - at) // (shards - k)
         below, top = sums.last_ends([share, at + capacity])
         above = sums.next_end(share)
-        best = above if above - share < share - below else below
+        best = above if below <= at or above - share < share - below else below  # each shard takes a group while there are any
         at = max(at, least[k], min(best, top))
         cuts.append(at)
     return [*cuts, sums.total]
