@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import fresh_path, keep, read, small
+from tallyglass.llm.common import free, fresh_path, keep, read, small
 from tallyglass.llm.decontaminate import decontaminate
 from tallyglass.llm.line_dedup import dedup_lines
 from tallyglass.llm.minhash import near_duplicates
@@ -27,8 +27,8 @@ MAX_BROADCAST_ROWS = 1_000_000
 
 
 def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = keep(ids.select(F.col("doc_id").alias("_gone")).filter("_gone is not null").distinct())
-    return docs.join(small(gone, MAX_BROADCAST_ROWS), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = keep(ids.filter("doc_id is not null").select(F.col("doc_id").alias(free("gone_id", docs.columns))).distinct())
+    return docs.join(small(gone, MAX_BROADCAST_ROWS), F.col("doc_id") == F.col(gone.columns[0]), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
