@@ -86,4 +86,4 @@ def response_text(c: Column) -> Column:
         return F.coalesce(get("$.response"), get("$.choices[0].text"), get("$.choices[0].content"), get("$.choices[0].message.content"), get("$.message.content"))
 
     texts = F.array_compact(F.transform(F.split(stripped(c), r"\R"), of))
-    return F.coalesce(of(stripped(c)), F.try_element_at(texts, F.lit(-1)), F.when(F.get_json_object(stripped(c), "$").isNotNull(), F.lit("")), stripped(c))
+    return F.coalesce(F.try_element_at(texts, F.lit(-1)), of(stripped(c)), F.when(F.get_json_object(stripped(c), "$").isNotNull(), F.lit("")), stripped(c))

@@ -8,8 +8,6 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # the SQLite source refuses filters without this
-    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 

@@ -4,7 +4,8 @@
     spark.read.format("sqlite").options(path=..., table=...).load()
 
 The file must be readable on every executor. It is opened read-only. A table with row ids is read in `partitions`
-ranges of them (4 by default), and comparisons with constants are handed to SQLite.
+ranges of them (4 by default). Filters stay with Spark: filters handed to a Python source are remembered by the relation,
+so a view that is read with a filter once would be read with it again where another query has none.
 """
 
 from __future__ import annotations
@@ -13,11 +14,10 @@ import sqlite3
 from collections.abc import Iterator
 from urllib.parse import quote
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
-COMPARISONS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-
+from tallyglass.sources.tables import quoted
 
 def _open(path: str) -> sqlite3.Connection:
     con = sqlite3.connect(f"file:{quote(path.removeprefix('file://'))}?mode=ro", uri=True)
@@ -68,26 +68,7 @@ class SQLiteSource(DataSource):
 class SQLiteReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.path, self.table, self.count = options["path"], options["table"], int(options.get("partitions", 4))
-        self.schema, self.where = schema, []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Keeps what SQLite can tell as Spark does; gives the rest back."""
-        kinds = {f.name: f.dataType for f in self.schema}
-        for f in filters:
-            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            plain = lambda v: isinstance(v, (int, float, str)) and not isinstance(v, bool) and isinstance(v, str) == isinstance(kinds[column], StringType)  # noqa: B023, E731
-            if column not in kinds:
-                yield f
-            elif type(f) in COMPARISONS and plain(f.value):
-                self.where.append((f"{_name(column)} {COMPARISONS[type(f)]} ?", (f.value,)))
-            elif isinstance(f, In) and f.value and all(map(plain, f.value)):
-                self.where.append((f"{_name(column)} IN ({', '.join('?' * len(f.value))})", tuple(f.value)))
-            elif isinstance(f, IsNotNull):
-                self.where.append((f"{_name(column)} IS NOT NULL", ()))
-            elif isinstance(f, IsNull):
-                self.where.append((f"{_name(column)} IS NULL", ()))
-            else:
-                yield f
+        self.schema = schema
 
     def partitions(self) -> list[InputPartition]:
         con = _open(self.path)
@@ -103,13 +84,12 @@ class SQLiteReader(DataSourceReader):
         return [Range(a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
-        where = [*self.where] if partition.low is None else [*self.where, ("rowid BETWEEN ? AND ?", (partition.low, partition.high))]
-        sql = f"SELECT {', '.join(_name(f.name) for f in self.schema)} FROM {_name(self.table)}" + (" WHERE " + " AND ".join(w for w, _ in where) if where else "")
+        sql = f"SELECT {', '.join(_name(f.name) for f in self.schema)} FROM {_name(self.table)}" + (" WHERE rowid BETWEEN ? AND ?" if partition.low is not None else "")
         cast = {LongType: int, DoubleType: float, StringType: str, BinaryType: bytes}
         casts = [cast[type(f.dataType)] for f in self.schema]
         con = _open(self.path)
         try:
-            for row in con.execute(sql, [v for _, vs in where for v in vs]):
+            for row in con.execute(sql, () if partition.low is None else (partition.low, partition.high)):
                 yield tuple(None if v is None else _cast(kind, v) for kind, v in zip(casts, row, strict=True))
         finally:
             con.close()
@@ -118,7 +98,9 @@ class SQLiteReader(DataSourceReader):
 def _cast(kind, value):
     """SQLite types are per value: what does not fit the declared type becomes null."""
     try:
-        return value if isinstance(value, kind) else kind(value, "utf-8") if kind is bytes and isinstance(value, str) else kind(value)
+        if isinstance(value, kind):
+            return value
+        return value.encode() if kind is bytes and isinstance(value, str) else kind(value) if kind is not int or value == int(value) else None
     except (TypeError, ValueError):
         return None
 
@@ -132,5 +114,5 @@ def register_database(spark, path: str, names: list[str] | None = None) -> list[
     finally:
         con.close()
     for name in names or found:
-        spark.read.format("sqlite").options(path=path, table=name).load().createOrReplaceTempView(name)
+        spark.read.format("sqlite").options(path=path, table=name).load().createOrReplaceTempView(quoted(name))
     return names or found

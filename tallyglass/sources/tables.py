@@ -47,7 +47,7 @@ def schema_rows(tables: dict[str, DataFrame]) -> list[tuple[str, int, str, str]]
     return [(name, k, f.name, f.dataType.simpleString()) for name in sorted(tables) for k, f in enumerate(tables[name].schema)]
 
 
-def _quoted(name: str) -> str:
+def quoted(name: str) -> str:
     return name if name.isidentifier() else "`" + name.replace("`", "``") + "`"
 
 
@@ -55,16 +55,16 @@ def ddl(tables: dict[str, DataFrame], keys: KeyRegistry = STAR) -> str:
     """A CREATE TABLE statement for each table: columns with types, then primary and foreign keys."""
     blocks = []
     for name in sorted(tables):
-        parts = [f"{_quoted(f.name)} {f.dataType.simpleString().upper()}" for f in tables[name].schema]
+        parts = [f"{quoted(f.name)} {f.dataType.simpleString().upper()}" for f in tables[name].schema]
         if own := keys.primary.get(name):
-            parts.append(f"PRIMARY KEY ({', '.join(map(_quoted, own))})")
+            parts.append(f"PRIMARY KEY ({', '.join(map(quoted, own))})")
         for columns, other, theirs in keys.foreign.get(name, []):
-            target = f" ({', '.join(map(_quoted, theirs))})" if theirs else ""
-            parts.append(f"FOREIGN KEY ({', '.join(map(_quoted, columns))}) REFERENCES {_quoted(other)}{target}")
-        blocks.append(f"CREATE TABLE {_quoted(name)} (" + ", ".join(parts) + ");")
+            target = f" ({', '.join(map(quoted, theirs))})" if theirs else ""
+            parts.append(f"FOREIGN KEY ({', '.join(map(quoted, columns))}) REFERENCES {quoted(other)}{target}")
+        blocks.append(f"CREATE TABLE {quoted(name)} (" + ", ".join(parts) + ");")
     return "\n\n".join(blocks)
 
 
 def sample_rows(spark: SparkSession, table: str, n: int = 3) -> DataFrame:
     """Any n rows of a table."""
-    return spark.table(_quoted(table)).limit(n)
+    return spark.table(quoted(table)).limit(n)
