@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
+from .oracle import SQL
 from .quality import classify
 from .quality_rules import quality_rules
 from .records import encode_to_records
@@ -77,4 +78,4 @@ QUERIES = {
     "op10_trie_bpe": op10_trie_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = SQL
