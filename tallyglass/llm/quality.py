@@ -3,7 +3,8 @@
 A document's evidence is a naive Bayes classifier's: whole words and their prefixes, and bins of some measures of its
 shape, each with the log odds that labelled documents give it. Its sum is calibrated on labelled documents that had no
 part in these odds: a likelihood ratio for each bin of the sum. There are two targets, low quality and toxicity. Both
-fits use a bounded sample of labelled documents (max_fit_docs, the first by the hash of their ids; a quarter for calibration);
+fits use a bounded sample of labelled documents (max_fit_docs, the first by the hash of their ids; near copies counted once; a
+quarter for calibration);
 everything else covers all rows.
 
 Sites then lend each other strength. From the evidence of all documents come the global rate of a target, and rates of
@@ -30,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, keep, small
+from .common import arrow_map, keep, let, small, space_words, windows
 
 TARGETS = ("low", "toxic")
 WORD = re.compile(r"\w+")
 #: Lengths of word prefixes that are features of their own.
 PREFIXES = (4, 5, 6)
-#: A feature counts if it is in at least so many labelled documents. Its log odds are shrunk toward 0 by so many standard
-#: errors, so that chance finds vanish, and must be at least so large then.
-MIN_DOCS, SHRINK, MIN_LOG_ODDS = 5, 2.5, 0.5
+#: A feature counts if it is in at least so many labelled documents. Its log odds are shrunk toward 0 by some standard
+#: errors, so that chance finds vanish; by how many, held-out documents decide.
+MIN_DOCS, SHRINKS = 5, (1.0, 2.0, 3.0, 4.0, 5.0, 6.0)
 #: A text is looked through in stretches of about so many characters, cut at space.
 STRETCH = 1 << 20
 
@@ -75,15 +76,26 @@ def shape_features(text: str) -> list[str]:
     return [f"={name}:{min(20, int(x))}" for name, x in measures.items()]
 
 
+def sketch(text: Column, pick) -> Column:
+    """A hash that near copies of a text share as a rule: the least or greatest over its runs of 5 words; of short texts, of all words."""
+    words = space_words(text)
+    return let(words, lambda w: F.coalesce(pick(windows(F.size(w) - 4, lambda i: F.xxhash64(F.slice(w, i + 1, 5)))), F.xxhash64(w)))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, max_fit_docs: int) -> DataFrame:
-    """(text, low, toxic, held) of a bounded sample of labelled documents; a quarter is held out for calibration."""
-    chosen = labels.filter("doc is not null").groupBy("doc").agg(*(F.max(t).alias(t) for t in TARGETS)).orderBy(F.xxhash64("doc")).limit(max_fit_docs)
-    chosen = keep(chosen.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc"), F.lit(4)) == 0))
-    return docs.join(small(chosen, max_fit_docs), "doc").select("text", *TARGETS, "held")
+    """(text, low, toxic, held) of a bounded sample of labelled documents, of near copies one; a quarter is held out. Words of a
+    text that was copied often would else pass for words that often come with its label."""
+    chosen = keep(labels.filter("doc is not null").groupBy("doc").agg(*(F.max(t).alias(t) for t in TARGETS)).orderBy(F.xxhash64("doc")).limit(max_fit_docs))
+    sample = docs.join(small(chosen, max_fit_docs), "doc").select("doc", "text", *TARGETS)
+    for pick in (F.array_min, F.array_max):
+        first = F.min_by(F.struct(*sample.columns), F.struct(F.xxhash64("doc"), F.xxhash64("text"))).alias("r")
+        sample = sample.groupBy(sketch(F.col("text"), pick).alias("k")).agg(first).select("r.*")
+    return keep(sample.select("text", *TARGETS, (F.pmod(F.xxhash64(F.lit("held"), "doc"), F.lit(4)) == 0).alias("held")))
 
 
 def fit(sample: DataFrame, max_features: int) -> dict[str, dict]:
-    """For each target the rate among labelled documents and the log odds of its features (of at most max_features, the strongest)."""
+    """For each target the rate among labelled documents, and of its features (of at most max_features, the surest) the log odds
+    with their standard errors."""
 
     def explode(batches):
         for b in batches:
@@ -99,71 +111,81 @@ def fit(sample: DataFrame, max_features: int) -> dict[str, dict]:
     models = {}
     for t in TARGETS:
         n1, n = (total[f"{t}_1"] or 0, total[f"{t}_n"]) if total else (0, 0)
-        models[t] = {"rate": n1 / n if n else 0.0, "odds": {}, "bins": []}
+        models[t] = {"rate": n1 / n if n else 0.0, "features": {}, "odds": {}, "bins": []}
         if not n1 or n1 == n:
             continue
         # counts with a pseudo count of one document in all, spread over both kinds as they are
         c1, c0 = F.col(f"{t}_1") + n1 / n, F.col(f"{t}_n") - F.col(f"{t}_1") + (1 - n1 / n)
-        odds = F.log(c1 / (n1 + 1)) - F.log(c0 / (n - n1 + 1))
-        shrunk_odds = F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - SHRINK * F.sqrt(1 / c1 + 1 / c0))
-        strong = counts.filter((F.col("feature") != "") & (F.col(f"{t}_n") >= MIN_DOCS)).select("feature", shrunk_odds.alias("odds")).filter(F.abs("odds") >= MIN_LOG_ODDS)
+        rated = counts.filter((F.col("feature") != "") & (F.col(f"{t}_n") >= MIN_DOCS)).select("feature", (F.log(c1 / (n1 + 1)) - F.log(c0 / (n - n1 + 1))).alias("odds"), F.sqrt(1 / c1 + 1 / c0).alias("error"))
+        sure = F.abs("odds") - min(SHRINKS) * F.col("error")
         # absence of a common word says little of a text in another language: only what speaks for the target, or shape, counts
-        strong = strong.filter((F.col("odds") > 0) | F.col("feature").startswith("="))
-        models[t]["odds"] = dict(strong.orderBy(F.desc(F.abs("odds")), "feature").limit(max_features).collect())
+        rated = rated.filter((sure > 0) & ((F.col("odds") > 0) | F.col("feature").startswith("="))).orderBy(sure.desc(), "feature").limit(max_features)
+        models[t]["features"] = {f: (x, e) for f, x, e in rated.collect()}
     return models
 
 
-def score(text: str | None, models: dict[str, dict]) -> list[float]:
-    """Sum of log odds of each target: of overlapping features (a word and its prefixes) the strongest counts."""
-    found, shape = word_features(text or ""), shape_features(text or "")
-    out = []
-    for t in TARGETS:
-        odds = models[t]["odds"]
-        groups: dict[str, float] = {}
-        for f in found:
-            if (x := odds.get(f)) is not None:
-                g = f[: PREFIXES[0]]
-                groups[g] = max(x, groups.get(g, 0.0))
-        out.append(sum(groups.values()) + sum(odds.get(f, 0.0) for f in shape))
-    return out
+def shrink(features: dict[str, tuple[float, float]], z: float) -> dict[str, float]:
+    """Log odds moved toward 0 by z standard errors, those that reach it left out."""
+    return {f: math.copysign(abs(x) - z * e, x) for f, (x, e) in features.items() if abs(x) > z * e}
+
+
+def score(found: set[str], shape: list[str], odds: dict[str, float]) -> float:
+    """Sum of log odds: of overlapping features (a word and its prefixes) the strongest counts."""
+    groups: dict[str, float] = {}
+    for f in found:
+        if (x := odds.get(f)) is not None:
+            g = f[: PREFIXES[0]]
+            groups[g] = max(x, groups.get(g, 0.0))
+    return sum(groups.values()) + sum(odds.get(f, 0.0) for f in shape)
+
+
+def pooled(by_bin: dict[int, list[float]]) -> tuple[list[tuple[float, float]], float]:
+    """(bins, log likelihood): bins are (lowest score, log likelihood ratio), neighbours pooled until the ratio rises with the score."""
+    n1, n0 = (sum(c[k] for c in by_bin.values()) for k in (0, 1))
+    pools: list[list[float]] = []
+    for x, (c1, c0) in sorted(by_bin.items()):
+        pools.append([x, c1, c0])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            _, c1, c0 = pools.pop()
+            pools[-1][1] += c1
+            pools[-1][2] += c0
+    if not n1 or not n0:
+        return [], -math.inf
+    likelihood = sum(c1 * math.log((c1 + 0.5) / (c1 + c0 + 1)) + c0 * math.log((c0 + 0.5) / (c1 + c0 + 1)) for _, c1, c0 in pools)
+    return [(x, math.log((c1 + 0.5) / (n1 + 1)) - math.log((c0 + 0.5) / (n0 + 1))) for x, c1, c0 in pools], likelihood
 
 
 def calibrate(sample: DataFrame, models: dict[str, dict]) -> None:
-    """Gives each target its bins: (lowest score, log likelihood ratio) by what documents apart from the fitted ones have
-    there; neighbouring bins are pooled until the ratio rises with the score."""
-    shared = sample.sparkSession.sparkContext.broadcast(models)
+    """By the held-out documents: chooses how far each target's odds are shrunk, and gives it the likelihood ratios of its bins."""
+    tried = {t: [shrink(models[t]["features"], z) for z in SHRINKS] for t in TARGETS}
+    shared = sample.sparkSession.sparkContext.broadcast(tried)
 
     def rate(batches):
         for b in batches:
-            scores = [score(t.as_py(), shared.value) for t in b.column(0)]
-            bins = [[max(-10, min(20, math.floor(x[k]))) for x in scores] for k in range(len(TARGETS))]
-            yield pa.RecordBatch.from_arrays([*(b.column(1 + k) for k in range(len(TARGETS))), *(pa.array(x, pa.int32()) for x in bins)], names=[*TARGETS, *(f"b_{t}" for t in TARGETS)])
-
-    binned = arrow_map(sample.filter("held").select("text", *TARGETS), rate, "low int, toxic int, b_low int, b_toxic int")
-    counts = binned.groupBy(*(f"b_{t}" for t in TARGETS), *TARGETS).count().collect()  # 31 bins of each target at most
+            for text, *labels in zip(*(b.column(k).to_pylist() for k in range(1 + len(TARGETS))), strict=True):
+                found, shape = word_features(text or ""), shape_features(text or "")
+                rows = [(t, k, max(-10, min(30, math.floor(score(found, shape, odds)))), y) for t, y in zip(TARGETS, labels, strict=True) if y is not None for k, odds in enumerate(shared.value[t])]
+                yield pa.RecordBatch.from_pylist([dict(zip(("target", "k", "bin", "y"), r, strict=True)) for r in rows], pa.schema([("target", pa.string()), ("k", pa.int32()), ("bin", pa.int32()), ("y", pa.int32())]))
+
+    binned = arrow_map(sample.filter("held").select("text", *TARGETS), rate, "target string, k int, bin int, y int")
+    tables: dict[tuple[str, int], dict[int, list[float]]] = {}
+    for r in binned.groupBy("target", "k", "bin", "y").count().collect():  # targets, shrinkages, 41 bins, 2 labels
+        tables.setdefault((r["target"], r["k"]), {}).setdefault(r["bin"], [0.0, 0.0])[1 - r["y"]] += r["count"]
     for t in TARGETS:
-        by_bin: dict[int, list[float]] = {}
-        for r in counts:
-            if r[t] is not None:
-                by_bin.setdefault(r[f"b_{t}"], [0.0, 0.0])[1 - r[t]] += r["count"]
-        n1, n0 = (sum(c[k] for c in by_bin.values()) for k in (0, 1))
-        pooled: list[list[float]] = []
-        for x, (c1, c0) in sorted(by_bin.items()):
-            pooled.append([x, c1, c0])
-            while len(pooled) > 1 and pooled[-2][1] * pooled[-1][2] >= pooled[-1][1] * pooled[-2][2]:
-                _, c1, c0 = pooled.pop()
-                pooled[-1][1] += c1
-                pooled[-1][2] += c0
-        if n1 and n0:
-            models[t]["bins"] = [(x, math.log((c1 + 0.5) / (n1 + 1)) - math.log((c0 + 0.5) / (n0 + 1))) for x, c1, c0 in pooled]
+        found = [(*pooled(tables.get((t, k), {})), k) for k in range(len(SHRINKS))]
+        bins, _, k = max(found, key=lambda x: x[1])
+        if models[t]["features"] and bins:
+            models[t] |= {"odds": tried[t][k], "bins": bins}
+    for t in TARGETS:
+        models[t].pop("features")
 
 
 def evidence(text: str | None, models: dict[str, dict]) -> list[float]:
     """Log likelihood ratio of each target given the text alone."""
-    out = []
-    for t, x in zip(TARGETS, score(text, models), strict=True):
+    found, shape, out = word_features(text or ""), shape_features(text or ""), []
+    for t in TARGETS:
         bins = models[t]["bins"]
-        out.append(bins[max(0, bisect.bisect_right(bins, (x, math.inf)) - 1)][1] if bins else 0.0)
+        out.append(bins[max(0, bisect.bisect_right(bins, (score(found, shape, models[t]["odds"]), math.inf)) - 1)][1] if bins else 0.0)
     return out
 
 
