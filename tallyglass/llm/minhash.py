@@ -4,11 +4,12 @@
    of as many universal hash functions; each band of minima is one key. With 5 rows and 30 bands a pair of similarity
    0.8 shares no key in 7 of a million cases, a closer pair in fewer.
 2. Texts with equal sets are one class, stood for by its smallest id; copies go no further.
-3. A bucket is the classes with one key. Its members are compared with pivots of it, not all with all: first one pivot,
-   then, in buckets that still hold more than one component, more of them each round. A member that was a pivot has
-   been held against all others and leaves. Pairs within one component need no comparison. So the rounds end with each
-   pair of each bucket compared or connected: no link between components is missed for want of a comparison.
-4. Pairs whose sizes allow the similarity are verified on their full sets; components of the verified links are found by
+3. A bucket is the classes with one key. Its members are compared with pivots of it, not all with all: first one pivot
+   (the member with the most neighbours), then, in buckets that still hold more than one component, more of them each
+   round. A member that was a pivot has been held against all others and leaves. Pairs within one component need no
+   comparison, nor do pairs that cannot be similar by their sizes or by what each shares with the first pivot. So the
+   rounds end with each pair of each bucket compared, connected or ruled out: no link is missed for want of a comparison.
+4. Pairs are verified on their full sets; components of the verified links are found by
    alternating large-star and small-star.
 
 Results for odd input: texts without words, null texts and rows without an id are linked with nothing; a text of fewer
@@ -112,14 +113,21 @@ def sets(docs: DataFrame, shingle: int) -> DataFrame:
     return arrow_map(docs, run, "doc long, members array<long>")
 
 
-def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v, un, vn) whose sets are similar enough: 100 * intersection >= percent * union."""
-    left, right = members.select(F.col("doc").alias("u"), F.col("members").alias("us")), members.select(F.col("doc").alias("v"), F.col("members").alias("vs"))
-    both = F.size(F.array_intersect("us", "vs"))
-    return pairs.join(left, "u").join(right, "v").filter(100 * both >= percent * (F.size("us") + F.size("vs") - both)).select("u", "v")
+def compared(pairs: DataFrame, members: DataFrame, percent: int, max_broadcast_bytes: int) -> DataFrame:
+    """The pairs (doc, pivot) with linked: whether their full sets are similar enough, and both: the size of the intersection
+    (null where an id has several sets). Pivots are few as a rule: up to
+    max_broadcast_bytes their sets are broadcast, so that no set is shuffled along with each of its pairs."""
+    wanted = keep(pairs.select("pivot").distinct())
+    pivots = members.join(small(wanted, 1_000_000), F.col("doc") == F.col("pivot"), "left_semi").select(F.col("doc").alias("pivot"), F.col("members").alias("theirs"))
+    size = members.join(small(wanted, 1_000_000), F.col("doc") == F.col("pivot"), "left_semi").agg(F.sum(8 * F.size("members") + 64)).first()[0] or 0
+    pivots = F.broadcast(pivots) if size <= max_broadcast_bytes else pivots
+    both = F.size(F.array_intersect("members", "theirs")).cast("long")
+    counted = pairs.join(members, "doc").join(pivots, "pivot").select("doc", "pivot", both.alias("both"), (F.size("members") + F.size("theirs")).alias("sizes"))
+    linked = F.max(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both")))
+    return counted.groupBy("doc", "pivot").agg(linked.alias("linked"), F.when(F.count("*") == 1, F.max("both")).alias("both"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, growth: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, growth: int = 4, max_broadcast_bytes: int = 32 << 20) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row. component_id: the smallest id reachable over links of percent / 100
     similarity or more; kept: whether this is it. growth: by how much the number of pivots of a bucket grows each round."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
@@ -139,24 +147,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = of_id.groupBy("doc").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first < last")
     links = of_id.join(first, "doc").select(F.col("rep").alias("u"), F.col("first").alias("v"))
 
-    tried, pivots = None, 1
+    # members with many neighbours in their buckets are likely to be what the others were copied from
+    crowd = members.groupBy("key").agg(F.count("*").alias("crowd"))
+    score = members.join(crowd, "key").groupBy("doc").agg(F.sum("crowd").alias("score"))
+    members = keep(members.join(score, "doc"))
+    links = keep(links)
+    hubs = tried = None
+    pivots = 1
     while True:
         labels = keep(components(links))
-        members = members.join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("part"))
+        members = members.join(labels, F.col("doc") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc")).drop("node", "component")
         still = members.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").select("key")
         members = keep(members.join(still, "key"))
         if members.isEmpty():
             break
         # members of the smallest parts of a bucket go first, as they have the most left to be compared with
         weight = members.groupBy("key", "part").agg(F.count("*").alias("weight"))
-        rank = F.row_number().over(W.partitionBy("key").orderBy("weight", "doc", "n"))
-        chosen = keep(members.join(weight, ["key", "part"]).withColumn("rank", rank).filter(F.col("rank") <= pivots).select("key", F.col("doc").alias("pivot"), F.col("n").alias("pivot_n"), F.col("part").alias("pivot_part")))
-        fits = (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")) & (F.col("part") != F.col("pivot_part"))
-        pairs = members.join(chosen, "key").filter(fits).select(F.greatest("doc", "pivot").alias("u"), F.least("doc", "pivot").alias("v")).distinct()
+        rank = F.row_number().over(W.partitionBy("key").orderBy("weight", F.desc("score"), "doc", "n"))
+        of_pivot = [F.col(c).alias(f"p_{c}") for c in members.columns if c not in ("key", "doc", "score")]
+        chosen = keep(members.join(weight, ["key", "part"]).withColumn("rank", rank).filter(F.col("rank") <= pivots).select("key", F.col("doc").alias("pivot"), *of_pivot))
+        may = (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & (F.col("part") != F.col("p_part"))
+        if hubs is not None:
+            # of what both share with the first pivot, and of what neither does, they share the smaller at most
+            most = F.least("h_both", "p_h_both") + F.least(F.col("n") - F.col("h_both"), F.col("p_n") - F.col("p_h_both"))
+            may = may & F.coalesce(100 * most >= percent * (F.col("n") + F.col("p_n") - most), F.lit(True))
+        pairs = members.join(chosen, "key").filter(may).groupBy(F.greatest("doc", "pivot").alias("u"), F.least("doc", "pivot").alias("v")).agg(F.min("pivot").alias("pivot"))
         pairs = keep(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(verified(pairs, full, percent))
-        members = members.join(chosen.select("key", F.col("pivot").alias("doc"), F.col("pivot_n").alias("n")), ["key", "doc", "n"], "left_anti").select("key", "doc", "n")
+        tried = pairs.select("u", "v") if tried is None else tried.unionByName(pairs.select("u", "v"))
+        counted = keep(compared(pairs.select((F.col("u") + F.col("v") - F.col("pivot")).alias("doc"), "pivot"), full, percent, max_broadcast_bytes))
+        linked = counted.filter("linked")
+        links = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(linked.select(F.col("doc").alias("u"), F.col("pivot").alias("v")))
+        members = members.join(chosen.select("key", F.col("pivot").alias("doc"), F.col("p_n").alias("n")), ["key", "doc", "n"], "left_anti").drop("part")
+        if hubs is None:
+            hubs = keep(chosen.select("key", F.col("pivot").alias("hub")))
+            members = members.join(hubs, "key").join(counted.select("doc", F.col("pivot").alias("hub"), F.col("both").alias("h_both")), ["doc", "hub"], "left").drop("hub")
         pivots *= growth
 
     parts = labels.withColumnRenamed("node", "rep")

@@ -48,9 +48,9 @@ def near_copies():
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     out = []
-    for g in range(6):
+    for g in range(3):
         base = [word() for _ in range(120)]
-        for _ in range(25):
+        for _ in range(24):
             text = list(base)
             for _ in range(rng.choice([0, 2, 5, 6, 8, 12])):
                 text[rng.randrange(120)] = word()
@@ -116,7 +116,7 @@ def test_line_dedup(spark, docs, empty):
     got = {(r["doc_id"], r["text"], r["n_words_removed"]) for r in ld.dedup_lines(df).collect()}
     assert got == {
         (1, made[0][1], 0), (2, f"other start.\n{short}\nend two. ", 120), (3, "third. in one line.", 60), (4, made[3][1], 0), (5, "", 60), (6, None, 0), (7, "", 0), (None, passage, 0), (8, made[-1][1], 0),
-    } - {(8, made[-1][1], 0)} | {(8, "", 60)}
+    }
     out = ld.dedup_lines(docs)
     assert out.columns == [*docs.columns, "n_words_removed", "n_words_left"] and out.count() == docs.count()
     assert ld.dedup_lines(empty).count() == 0
