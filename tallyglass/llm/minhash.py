@@ -4,13 +4,14 @@
    of as many universal hash functions; each band of minima is one key. With 5 rows and 30 bands a pair of similarity
    0.8 shares no key in 7 of a million cases, a closer pair in fewer.
 2. Texts with equal sets are one class, stood for by its smallest id; copies go no further.
-3. A bucket is the classes with one key. Its members are compared with pivots of it, not all with all: first one pivot
-   (the member with the most neighbours), then, in buckets that still hold more than one component, more of them each
-   round. A member that was a pivot has been held against all others and leaves. Pairs within one component need no
-   comparison, nor do pairs that cannot be similar by their sizes or by what each shares with the first pivot. So the
-   rounds end with each pair of each bucket compared, connected or ruled out: no link is missed for want of a comparison.
-4. Pairs are verified on their full sets; components of the verified links are found by
-   alternating large-star and small-star.
+3. A bucket is the classes with one key. Its members are compared on their full sets with one of them, its hub, not all
+   with all, and components of the links found are formed. Of two members of different components one is not similar to
+   the hub. Say x shares X with the hub and y shares Y: what x and y share is at most min(X, Y) and what both have beyond
+   the hub. So either sizes, X and Y alone allow the similarity (few pairs; these are compared), or x and y share hashes
+   that the hub has not. As they must share at least `percent` of each set, it is enough to look at all but so many of a
+   member's own hashes (in one order for all): the pair shares one of these. Members with a common one form the buckets
+   of the next round. So no pair of a bucket is missed, and no bucket is compared all with all.
+4. Components of the links are found by alternating large-star and small-star.
 
 Results for odd input: texts without words, null texts and rows without an id are linked with nothing; a text of fewer
 words than a shingle has its whole sequence as its only one; rows that repeat an id are one document with the links of
@@ -19,12 +20,13 @@ all of them; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .common import arrow_map, keep, small
 from .components import components
@@ -114,31 +116,49 @@ def sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, members: DataFrame, percent: int, max_broadcast_bytes: int) -> DataFrame:
-    """The pairs (doc, pivot) with linked: whether their full sets are similar enough, and both: the size of the intersection
-    (null where an id has several sets). Pivots are few as a rule: up to
-    max_broadcast_bytes their sets are broadcast, so that no set is shuffled along with each of its pairs."""
-    wanted = keep(pairs.select("pivot").distinct())
-    pivots = members.join(small(wanted, 1_000_000), F.col("doc") == F.col("pivot"), "left_semi").select(F.col("doc").alias("pivot"), F.col("members").alias("theirs"))
-    size = members.join(small(wanted, 1_000_000), F.col("doc") == F.col("pivot"), "left_semi").agg(F.sum(8 * F.size("members") + 64)).first()[0] or 0
-    pivots = F.broadcast(pivots) if size <= max_broadcast_bytes else pivots
-    both = F.size(F.array_intersect("members", "theirs")).cast("long")
-    counted = pairs.join(members, "doc").join(pivots, "pivot").select("doc", "pivot", both.alias("both"), (F.size("members") + F.size("theirs")).alias("sizes"))
-    linked = F.max(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both")))
-    return counted.groupBy("doc", "pivot").agg(linked.alias("linked"), F.when(F.count("*") == 1, F.max("both")).alias("both"))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, growth: int = 4, max_broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """The pairs (doc, pivot) with n: the size of doc's set, both: that of the intersection of the full sets, linked: whether
+    they are similar enough, own: hashes that doc has and pivot has not, as many as must be known (see near_duplicates).
+    Pivots are few as a rule: up to max_broadcast_bytes their sets are broadcast, so that no set is shuffled with its pairs."""
+    wanted = small(keep(pairs.select("pivot").distinct()), 1_000_000)
+    pivots = members.join(wanted, F.col("doc") == F.col("pivot"), "left_semi").select(F.col("doc").alias("pivot"), F.col("members").alias("theirs"))
+    size = pivots.agg(F.sum(8 * F.size("theirs") + 64)).first()[0] or 0
+    counted = pairs.join(members, "doc").join(F.broadcast(pivots) if size <= max_broadcast_bytes else pivots, "pivot")
+    counted = counted.select("doc", "pivot", F.size("members").alias("n"), F.size("theirs").alias("m"), F.array_except("members", "theirs").alias("own"))
+    both = F.col("n") - F.size("own")
+    linked = 100 * both >= percent * (F.col("n") + F.col("m") - both)
+    needed = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100).cast("int") - both)
+    return counted.select("doc", "pivot", "n", both.alias("both"), linked.alias("linked"), F.slice("own", 1, F.greatest(F.lit(0), F.size("own") - needed + 1)).alias("own"))
+
+
+def step(size):
+    """Sizes in steps of a twentieth: those that a size may be similar to lie in few of them."""
+    return F.floor(F.log(size) / math.log(1.05)).cast("int")
+
+
+def without_sharing(near: DataFrame, percent: int) -> DataFrame:
+    """Pairs (doc, pivot) that may be similar though they share nothing but what both share with their hub."""
+    x = near.filter("not linked").select("hub", F.col("doc").alias("pivot"), F.col("n").alias("x_n"), F.col("both").alias("x_both"), F.col("part").alias("x_part"))
+    least = F.ceil(F.col("x_n") * percent / 100)
+    most = F.least(F.floor(F.col("x_n") * 100 / percent), F.floor(F.col("x_both") * (100 + percent) / percent) - F.col("x_n"))
+    x = x.filter(most >= least).withColumn("size", F.explode(F.sequence(step(least), step(most))))
+    may = (F.col("part") != F.col("x_part")) & ((100 + percent) * F.least("both", "x_both") >= percent * (F.col("n") + F.col("x_n")))
+    pairs = near.withColumn("size", step(F.col("n"))).join(x, ["hub", "size"]).filter(may)
+    return pairs.groupBy(F.least("doc", "pivot").alias("u"), F.greatest("doc", "pivot").alias("v")).agg(F.min("pivot").alias("pivot")).select((F.col("u") + F.col("v") - F.col("pivot")).alias("doc"), "pivot")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, max_broadcast_bytes: int = 32 << 20) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row. component_id: the smallest id reachable over links of percent / 100
-    similarity or more; kept: whether this is it. growth: by how much the number of pivots of a bucket grows each round."""
+    similarity or more; kept: whether this is it. max_broadcast_bytes: sets of hubs
+    that are broadcast, at most."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     signed = keep(signatures(texts, shingle, bands, rows))
     classes = keep(signed.filter("n > 0 and doc is not null").groupBy("k1", "k2").agg(F.min("doc").alias("rep")))
 
     # a class's keys come from the row that stands for it
     stands = signed.join(classes.select("k1", "k2", F.col("rep").alias("doc")), ["k1", "k2", "doc"], "left_semi").dropDuplicates(["k1", "k2", "doc"])
-    keyed = stands.select("doc", "n", F.explode("keys").alias("key")).dropDuplicates(["doc", "key", "n"])
+    keyed = stands.select("doc", F.explode("keys").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("key")
-    members = keep(keyed.join(shared, "key").select("key", "doc", "n"))
+    members = keep(keyed.join(shared, "key").select("key", "doc"))
     candidates = keep(members.select("doc").distinct())
     full = keep(sets(texts.join(small(candidates, 2_000_000), "doc", "left_semi"), shingle).distinct())
 
@@ -147,41 +167,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = of_id.groupBy("doc").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first < last")
     links = of_id.join(first, "doc").select(F.col("rep").alias("u"), F.col("first").alias("v"))
 
-    # members with many neighbours in their buckets are likely to be what the others were copied from
-    crowd = members.groupBy("key").agg(F.count("*").alias("crowd"))
-    score = members.join(crowd, "key").groupBy("doc").agg(F.sum("crowd").alias("score"))
-    members = keep(members.join(score, "doc"))
-    links = keep(links)
-    hubs = tried = None
-    pivots = 1
+    labels = keep(components(links))
+
+    def with_parts(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, F.col("doc") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc")).drop("node", "component")
+
+    def still_apart(rows: DataFrame, by: str) -> DataFrame:
+        return rows.join(rows.groupBy(by).agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").select(by), by)
+
     while True:
-        labels = keep(components(links))
-        members = members.join(labels, F.col("doc") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc")).drop("node", "component")
-        still = members.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").select("key")
-        members = keep(members.join(still, "key"))
+        members = keep(still_apart(with_parts(members), "key"))
         if members.isEmpty():
             break
-        # members of the smallest parts of a bucket go first, as they have the most left to be compared with
-        weight = members.groupBy("key", "part").agg(F.count("*").alias("weight"))
-        rank = F.row_number().over(W.partitionBy("key").orderBy("weight", F.desc("score"), "doc", "n"))
-        of_pivot = [F.col(c).alias(f"p_{c}") for c in members.columns if c not in ("key", "doc", "score")]
-        chosen = keep(members.join(weight, ["key", "part"]).withColumn("rank", rank).filter(F.col("rank") <= pivots).select("key", F.col("doc").alias("pivot"), *of_pivot))
-        may = (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & (F.col("part") != F.col("p_part"))
-        if hubs is not None:
-            # of what both share with the first pivot, and of what neither does, they share the smaller at most
-            most = F.least("h_both", "p_h_both") + F.least(F.col("n") - F.col("h_both"), F.col("p_n") - F.col("p_h_both"))
-            may = may & F.coalesce(100 * most >= percent * (F.col("n") + F.col("p_n") - most), F.lit(True))
-        pairs = members.join(chosen, "key").filter(may).groupBy(F.greatest("doc", "pivot").alias("u"), F.least("doc", "pivot").alias("v")).agg(F.min("pivot").alias("pivot"))
-        pairs = keep(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
-        tried = pairs.select("u", "v") if tried is None else tried.unionByName(pairs.select("u", "v"))
-        counted = keep(compared(pairs.select((F.col("u") + F.col("v") - F.col("pivot")).alias("doc"), "pivot"), full, percent, max_broadcast_bytes))
-        linked = counted.filter("linked")
-        links = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(linked.select(F.col("doc").alias("u"), F.col("pivot").alias("v")))
-        members = members.join(chosen.select("key", F.col("pivot").alias("doc"), F.col("p_n").alias("n")), ["key", "doc", "n"], "left_anti").drop("part")
-        if hubs is None:
-            hubs = keep(chosen.select("key", F.col("pivot").alias("hub")))
-            members = members.join(hubs, "key").join(counted.select("doc", F.col("pivot").alias("hub"), F.col("both").alias("h_both")), ["doc", "hub"], "left").drop("hub")
-        pivots *= growth
+        # the hub of a bucket: the member with the most neighbours, as the others are likely to be copied from it
+        crowd = members.groupBy("key").agg(F.count("*").alias("crowd"))
+        score = members.join(crowd, "key").groupBy("doc").agg(F.sum("crowd").alias("score"))
+        hubs = members.join(score, "doc").groupBy("key").agg(F.max_by("doc", F.struct("score", -F.col("doc"))).alias("pivot"))
+        star = members.join(hubs, "key").filter("doc <> pivot").select("doc", "pivot").distinct()
+        near = keep(compared(star, full, percent, max_broadcast_bytes)).withColumnRenamed("pivot", "hub")
+        linked = near.filter("linked").select(F.col("doc").alias("u"), F.col("hub").alias("v"))
+        labels = keep(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(linked)))
+        near = keep(still_apart(with_parts(near), "hub"))
+        more = compared(keep(without_sharing(near, percent)), full, percent, max_broadcast_bytes).filter("linked").select(F.col("doc").alias("u"), F.col("pivot").alias("v"))
+        labels = keep(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)))
+        # all other pairs share a hash that their hub has not: buckets of the next round
+        members = near.select("doc", F.explode("own").alias("own"), "hub").select(F.xxhash64("hub", "own").alias("key"), "doc").distinct()
 
     parts = labels.withColumnRenamed("node", "rep")
     of_class = classes.join(parts, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
