@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -40,6 +42,36 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 _shipped: set[str] = set()
+#: Of a worker process: what each module keeps between tasks, as a function that lets go of it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(module: str, clear: Callable[[], None]) -> None:
+    """Says that a module of this package keeps something between tasks."""
+    _kept[module] = clear
+
+
+def _free_others(module: str) -> None:
+    """Frees what other modules keep in this worker. A function of the module, not a closure: so it meets the worker's own _kept."""
+    others = [clear for name, clear in _kept.items() if name != module]
+    for clear in others:
+        clear()
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # a C library without it
+
+
+def _alone(run: Callable) -> Callable:
+    """run, after other modules' memory of earlier tasks is freed: a worker that serves several operators in turn holds one's at a time."""
+
+    def first_free(batches):
+        _free_others(run.__module__)
+        yield from run(batches)
+
+    return first_free
 
 
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
@@ -49,7 +81,7 @@ def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
         package = Path(__file__).parents[1]
         sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name))
         _shipped.add(sc.applicationId)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_alone(run), schema)
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:

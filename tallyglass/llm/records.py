@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .bpe import ODD_SPACE, Memo
-from .common import arrow_map, fresh_path, small
+from .common import arrow_map, fresh_path, keeps, small
 
 #: Words for a tokenizer that drops space: letters and digits before a dot, a comma or a space, or all up to the next space.
 WORD = re.compile(r"[^\W_]+(?=[.,\s]|$)|\S+")
@@ -113,6 +113,14 @@ class WordEncoder:
 
 
 _encoders: dict[str, WordEncoder] = {}
+keeps(__name__, _encoders.clear)
+
+
+def _encoder(path: str) -> WordEncoder:
+    """One per worker process."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def write_records(docs: DataFrame, root: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_text_bytes: int = 64 << 20) -> None:
@@ -121,9 +129,7 @@ def write_records(docs: DataFrame, root: str, tokenizer_path: str, end_id: int,
     spark = docs.sparkSession
 
     def framed(batches):
-        if tokenizer_path not in _encoders:
-            _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
-        enc = _encoders[tokenizer_path]
+        enc = _encoder(tokenizer_path)
         end = enc._bytes([end_id])
         for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             ids = enc.encode([t or "" for t in b.column(1).to_pylist()])

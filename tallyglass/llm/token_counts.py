@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import PATTERN, Memo, Vocabulary, pieces, vocabulary
-from .common import arrow_map
+from .common import arrow_map, keeps
 
 
 def merged_length(word: bytes, v: Vocabulary) -> int:
@@ -43,6 +43,12 @@ def merged_length(word: bytes, v: Vocabulary) -> int:
 
 
 _memos: dict[str, Memo] = {}
+keeps(__name__, _memos.clear)
+
+
+def _memo(path: str) -> Memo:
+    """One per worker process."""
+    return _memos.setdefault(path, Memo())
 
 
 def count_text(text: str, v: Vocabulary, memo: Memo) -> int:
@@ -64,7 +70,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """(id, n_bytes, n_tokens, over_limit) for each row. vocabulary_path must be readable on every executor."""
 
     def count(batches):
-        v, memo = vocabulary(vocabulary_path), _memos.setdefault(vocabulary_path, Memo())
+        v, memo = vocabulary(vocabulary_path), _memo(vocabulary_path)
         for b in batches:
             texts = b.column(1)
             n_bytes = [len(t.as_buffer()) if t.is_valid else 0 for t in texts]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import PATTERN, Memo, Vocabulary, pieces, vocabulary
-from .common import arrow_map
+from .common import arrow_map, keeps
 
 #: Pieces whose new words enter a trie together, and rows encoded together, at most.
 PIECES_AT_ONCE, ROWS = 400_000, 1_000
@@ -142,6 +142,7 @@ def decode(ids, v: Vocabulary) -> str:
 
 
 _encoders: dict[tuple[type, str], TrieEncoder] = {}
+keeps(__name__, _encoders.clear)
 
 
 def _encoder(kind: type, path: str):
