@@ -1,18 +1,24 @@
-"""Line deduplication by pairwise alignment.
-
-Texts are cut into lines, and lines into sentences; each such piece has a hash. Overlapping documents are found by keys:
-the hash of each shortest run of pieces with min_words words. A key is rare if it is new with the document: of all
-documents with a key the one with the smallest id owns it, and each later one is paired with the owner alone. So pairs
-are at most as many as runs, however many documents share one, and no shared block of min_words words goes unnoticed.
-Each pair is aligned by patience diff: pieces that occur once in both and stand in the same order are anchors, grown
-over equal neighbours, and the gaps between anchors are aligned the same way. Aligned common blocks of min_words words or
-more are deleted from the later document. What is left is aligned again, for blocks that moved, until
-nothing more goes; at last runs of min_words words that the two share but no alignment holds (they overlap a deleted
-block, or repeat inside one document) go by their keys, so all copies go.
+"""Line deduplication: passages of min_words words or more in a row that an earlier document has are cut.
+
+Words are what stands between space, so line breaks, sentence ends and spacing don't matter to what is common. Each run of
+min_words words belongs to its first document, the one with the smallest id that has it; a word of a later document
+that lies in such a run goes, wherever the run begins and however often it stands there. No run is left out, and none is compared by pairs, so
+the work grows with the words however many documents share a passage:
+1. Of each run of min_words words the gram (of two fifths as many words) with the smallest hash is its print. Runs that
+   are equal have the same print, so all runs of a print that one document has are its own. Neighbouring runs with the
+   same print make a stretch, on average one for each 16 words if min_words is 50; each stretch has a hash of its words.
+2. Equal stretches have equal runs: they go from all documents but the first.
+3. Where stretches of the same print differ (edges of passages, edited copies), the first document of each distinct
+   stretch shows its single runs, and each run goes from all documents but its first.
+This is what alignment of each document with the first owners of its runs gives, word by word, once blocks that moved or
+repeat are followed too: copied() does that for one pair by patience diff, and tests hold the two against each other.
+
+Edges: if a passage begins or ends inside a line or sentence (a piece, PIECE) and has half of it or less, these words stay as long
+as min_words words go without them; so of each run a word goes at least, and whole sentences are left where that is possible.
 
 Results for odd input: null texts stay null and empty ones empty; rows that repeat an id with the same text stay as they
 are (a document is no copy of itself), and if their texts differ each is compared with earlier documents by itself; rows
-without an id are left alone and own nothing; an empty table gives no rows.
+without an id are left alone and own nothing; an empty table gives no rows. Runs that come together only by a cut are not compared again.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from .common import arrow_map, free, keep, small
 
 #: A piece ends after a line break, or after space that follows the end of a sentence.
 PIECE = re.compile(r"[^\n]*?(?:[.!?][ \t]+|\n)|[^\n]+$")
+WORD = re.compile(r"\S+\s*")
 
 
 def pieces(text: str) -> list[str]:
@@ -37,10 +44,81 @@ def pieces(text: str) -> list[str]:
     return PIECE.findall(text)
 
 
-def outline(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and number of words of each piece that has words, space around it left out; pieces without words don't count."""
-    found = [w for p in pieces(text or "") if (w := p.split())]
-    return np.array([xxhash.xxh64_intdigest(" ".join(w)) for w in found], np.uint64).view(np.int64), np.array([len(w) for w in found], np.int32)
+#: Odd multiplier of the rolling hash, and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+#: Words hashed together, about; and words whose hashes are remembered while a batch lasts.
+CHUNK_WORDS, MAX_WORDS = 100_000, 200_000
+
+
+class Hashes(dict):
+    """word -> its hash."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MAX_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = (text or "").split()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def chunks(texts: pa.Array):
+    """(place of the first, texts) of stretches of a column, of CHUNK_WORDS words or one text each, about."""
+    at, out, size = 0, [], 0
+    for t in texts:
+        out.append(t.as_py())
+        size += len(out[-1] or "") // 5
+        if size >= CHUNK_WORDS:
+            yield at, out
+            at, out, size = at + len(out), [], 0
+    if out:
+        yield at, out
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """x (uint64) with each bit spread over all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Runs:
+    """Hashes of runs of words of several texts, laid end to end: text k has the words from starts[k] up to starts[k + 1]."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        self.starts = np.cumsum([0, *(len(t) for t in texts)])
+        words = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+        power = lambda base: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(words), base, np.uint64)]), dtype=np.uint64)
+        self.back = power(INVERSE)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power(BASE)[: len(words)], dtype=np.uint64)])
+
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the words from start up to end, the same wherever they stand."""
+        return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+
+    def stretches(self, gram: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, print) of each stretch: neighbouring runs of min_words words in which the same gram has the smallest hash, its print."""
+        n, width = int(self.starts[-1]), min_words - gram + 1
+        if n < min_words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        at = np.arange(n - gram + 1)
+        low, size = self.span(at, at + gram), 1
+        while size < width:  # low, at: smallest hash of each size grams in a row and its place, the first of equals
+            step = min(size, width - size)
+            right = low[step:] < low[:-step]
+            low, at, size = np.where(right, low[step:], low[:-step]), np.where(right, at[step:], at[:-step]), size + step
+        inside = np.ones(len(at), bool)
+        for s in self.starts[1:-1].tolist():
+            inside[max(0, s - min_words + 1) : s] = False
+        run = np.flatnonzero(inside)
+        new = np.ones(len(run), bool)
+        new[1:] = (at[run[1:]] != at[run[:-1]]) | (run[1:] != run[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(run))[: len(first)] - 1
+        return run[first], run[last] + min_words, low[run[first]]
 
 
 def run_ends(words: list[int], min_words: int) -> list[int]:
@@ -51,10 +129,6 @@ def run_ends(words: list[int], min_words: int) -> list[int]:
     return [e if (e := bisect.bisect_left(total, total[i] + min_words)) <= len(words) else 0 for i in range(len(words))]
 
 
-def run_keys(hashes: np.ndarray, words: np.ndarray, min_words: int) -> list[int]:
-    return [xxhash.xxh64_intdigest(hashes[i:e].tobytes()) - (1 << 63) for i, e in enumerate(run_ends(words.tolist(), min_words)) if e]
-
-
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Places (i, j) of aligned equal pieces of a and b, in order."""
     out: list[tuple[int, int]] = []
@@ -129,58 +203,103 @@ def copied(later: list[int], words: list[int], owner: list[int], owner_words: li
 
 
 def without(text: str, gone: set[int]) -> str:
-    """text without the pieces that stand at these places among the pieces that have words."""
+    """text without the words at these places. The space at the end of a piece stays while words of it do."""
     out, k = [], 0
     for p in pieces(text):
-        if p.split():
-            if k not in gone:
-                out.append(p)
-            k += 1
-        else:
+        found = WORD.findall(p)
+        left = [x for i, x in enumerate(found, k) if i not in gone]
+        if not found or len(left) == len(found):
             out.append(p)
+        elif left:
+            last = found[-1]
+            if k + len(found) - 1 in gone:
+                left[-1] = left[-1].rstrip() + last[len(last.rstrip()) :]
+            out += [p[: len(p) - len(p.lstrip())], *left]
+        k += len(found)
     return "".join(out)
 
 
-def copied_pieces(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc, hash, gone): for each text, named by its hash, places of the pieces to delete; rows only where there are any. docs: doc, text."""
-
-    def outlines(batches):
+def going(text: str, spans: list[int], min_words: int) -> set[int]:
+    """Places of the words of text that go, for spans of words (start << 32 | end) that earlier documents have."""
+    ends = np.cumsum([0, *(len(w) for p in pieces(text) if (w := p.split()))])
+    gone = np.zeros(ends[-1], bool)
+    for s in spans:
+        gone[s >> 32 : s & 0xFFFFFFFF] = True
+    edges = np.flatnonzero(np.diff(gone, prepend=False, append=False))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        k = int(np.searchsorted(ends, a, "right"))  # a lies in the piece that ends at ends[k], b - 1 in the one from ends[m]
+        m = int(np.searchsorted(ends, b, "left")) - 1
+        head = int(ends[k]) - a if ends[k - 1] < a and ends[k] < b else 0
+        tail = b - int(ends[m]) if b < ends[m + 1] and a < ends[m] else 0
+        head = head if head < min_words and 2 * head <= ends[k] - ends[k - 1] else 0
+        tail = tail if tail < min_words and 2 * tail <= ends[m + 1] - ends[m] else 0
+        if b - a - head - tail >= min_words:
+            gone[a : a + head] = gone[b - tail : b] = False
+    return set(np.flatnonzero(gone).tolist())
+
+
+def copied_spans(docs: DataFrame, min_words: int, max_broadcast_rows: int) -> DataFrame:
+    """(doc, hash, spans): for each text, named by its hash, the spans of words (start << 32 | end) that earlier documents have; rows only where
+    there are any. docs: doc, text."""
+    gram = max(1, 2 * min_words // 5)
+
+    def stretches(batches):
         for b in batches:
-            found = [outline(t.as_py()) for t in b.column(1)]
-            ends = pa.array(np.cumsum([0, *(len(h) for h, _ in found)]), pa.int32())
-            flat = lambda k, kind: pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[k] for f in found]) if found else [], kind))
-            keys = [sorted(set(run_keys(h, w, min_words))) for h, w in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), flat(0, pa.int64()), flat(1, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "hash", "pieces", "words", "keys"])
-
-    def aligned(batches):
+            word = Hashes()
+            for at, texts in chunks(b.column(1)):
+                found = Runs([word.of(t) for t in texts])
+                begin, end, prints = found.stretches(gram, min_words)
+                cuts = pa.array(np.searchsorted(begin, found.starts), pa.int32())
+                first = np.repeat(found.starts[:-1], np.diff(cuts.to_numpy()))
+                lists = [prints.view(np.int64), found.span(begin, end).view(np.int64), (begin - first) << 32 | (end - first)]
+                of = [b.column(k).slice(at, len(texts)) for k in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*of, *(pa.ListArray.from_arrays(cuts, pa.array(x, pa.int64())) for x in lists)], names=["doc", "hash", "print", "stretch", "place"])
+
+    def opened(batches):
         for b in batches:
-            c = b.to_pydict()
-            gone = [copied(*x, min_words) for x in zip(c["pieces"], c["words"], c["owner_pieces"], c["owner_words"], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("hash"), pa.array(gone, pa.list_(pa.int32()))], names=["doc", "hash", "gone"])
-
-    told = keep(arrow_map(docs.filter("doc is not null").select("doc", "text", F.xxhash64("text").alias("hash")), outlines, "doc long, hash long, pieces array<long>, words array<int>, keys array<long>"))
-    keyed = told.select("doc", "hash", F.explode("keys").alias("key"))
-    owners = keyed.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("key", "owner")
-    pairs = keep(keyed.join(owners, "key").filter("owner < doc").select("doc", "hash", "owner").distinct())
-    owner = told.select(F.col("doc").alias("owner"), F.col("pieces").alias("owner_pieces"), F.col("words").alias("owner_words"))
-    both = pairs.join(told.select("doc", "hash", "pieces", "words").distinct(), ["doc", "hash"]).join(owner, "owner").select("doc", "hash", "pieces", "words", "owner_pieces", "owner_words")
-    return arrow_map(both, aligned, "doc long, hash long, gone array<int>").select("doc", "hash", F.explode("gone").alias("gone")).groupBy("doc", "hash").agg(F.collect_set("gone").alias("gone"))
+            word = Hashes()
+            for at, texts in chunks(b.column("text")):
+                found = Runs([word.of(t) for t in texts])
+                begin = [[np.arange(p >> 32, (p & 0xFFFFFFFF) - min_words + 1) for p in x] for x in b.column("places").slice(at, len(texts)).to_pylist()]
+                begin = [np.unique(np.concatenate(x)) for x in begin]
+                cuts = pa.array(np.cumsum([0, *(len(x) for x in begin)]), pa.int32())
+                begin = np.concatenate(begin)
+                first = begin + np.repeat(found.starts[:-1], np.diff(cuts.to_numpy()))
+                lists = [found.span(first, first + min_words).view(np.int64), begin << 32 | (begin + min_words)]
+                of = [b.column(k).slice(at, len(texts)) for k in ("doc", "hash")]
+                yield pa.RecordBatch.from_arrays([*of, *(pa.ListArray.from_arrays(cuts, pa.array(x, pa.int64())) for x in lists)], names=["doc", "hash", "key", "place"])
+
+    each = lambda df, *lists: df.select("doc", "hash", F.inline(F.arrays_zip(*lists)))
+    texts = docs.filter("doc is not null").select("doc", "text", F.xxhash64("text").alias("hash"))
+    told = each(keep(arrow_map(texts, stretches, "doc long, hash long, print array<long>, stretch array<long>, place array<long>")), "print", "stretch", "place")
+    # a print with one stretch: all documents have the same around it, and the first one owns it
+    common = told.groupBy("print").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), (F.min("stretch") < F.max("stretch")).alias("open")).filter("owner < last")
+    shared = keep(told.join(common.drop("last"), "print").drop("print"))
+    owners = shared.filter("open").groupBy("stretch").agg(F.min("doc").alias("owner"))
+    unlike = keep(shared.filter("open").drop("owner").join(owners, "stretch").select("doc", "hash", "place", "owner"))
+    # stretches that differ around the same print: the first document of each shows its runs
+    shown = keep(unlike.filter("owner = doc").groupBy("doc", "hash").agg(F.collect_set("place").alias("places")))
+    runs = keep(arrow_map(texts.join(small(shown, max_broadcast_rows), ["doc", "hash"]).select("doc", "hash", "text", "places"), opened, "doc long, hash long, key array<long>, place array<long>"))
+    runs = each(runs, "key", "place")
+    firsts = runs.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("key", "owner")
+    spans = [x.filter("owner < doc").select("doc", "hash", "place") for x in (shared.filter("not open"), unlike, runs.join(firsts, "key"))]
+    return spans[0].union(spans[1]).union(spans[2]).groupBy("doc", "hash").agg(F.collect_set("place").alias("spans"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_broadcast_rows: int = 200_000) -> DataFrame:
-    """docs with the text of each row less its copied blocks, and n_words_removed, n_words_left."""
+    """docs with the text of each row less its copied passages, and n_words_removed, n_words_left."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     names = [c for c in docs.columns if c not in ("n_words_removed", "n_words_left")]
     of, named, places = (free(c, docs.columns) for c in ("copy_doc", "copy_hash", "copy_places"))
-    gone = keep(copied_pieces(rows, min_words).select(F.col("doc").alias(of), F.col("hash").alias(named), F.col("gone").alias(places)))
+    gone = keep(copied_spans(rows, min_words, max_broadcast_rows).select(F.col("doc").alias(of), F.col("hash").alias(named), F.col("spans").alias(places)))
 
     def edit(batches):
         for b in batches:
             text, lost, left = [], [], []
             for t, g in zip(b.column(text_col).to_pylist(), b.column(places).to_pylist(), strict=True):
                 n = len(t.split()) if t else 0
-                text.append(without(t, set(g)) if g and t else t)
-                left.append(len(text[-1].split()) if text[-1] else 0)
+                text.append(without(t, going(t, g, min_words)) if g and t else t)
+                left.append(len(text[-1].split()) if g and t else n)
                 lost.append(n - left[-1])
             kept = [pa.array(text, pa.string()) if c == text_col else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lost, pa.int64()), pa.array(left, pa.int64())], names=[*names, "n_words_removed", "n_words_left"])

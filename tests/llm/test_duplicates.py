@@ -120,3 +120,59 @@ def test_line_dedup(spark, docs, empty):
     out = ld.dedup_lines(docs)
     assert out.columns == [*docs.columns, "n_words_removed", "n_words_left"] and out.count() == docs.count()
     assert ld.dedup_lines(empty).count() == 0
+
+
+def brute_spans(made, min_words):
+    """Row -> places of words in runs of min_words words that a smaller id has: all runs of all rows."""
+    runs = lambda t: [tuple(w[i : i + min_words]) for w in [t.split()] for i in range(len(w) - min_words + 1)]
+    first = {}
+    for d, t in made:
+        for r in runs(t):
+            first[r] = min(d, first.get(r, d))
+    return [{i for k, r in enumerate(runs(t)) if first[r] < d for i in range(k, k + min_words)} for d, t in made]
+
+
+def planted_passages():
+    """Texts with passages planted inside sentences, without any sentence end, edited, moved, repeated and nested."""
+    rng = random.Random(5)
+    words = lambda n, end=0: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(400)}" + (". " if end and k % end == end - 1 else "") for k in range(n))
+    plain, prose, long = words(58), words(70, 9), words(400, 11)
+    out = [(10, words(30) + " " + plain + " " + words(7)), (11, words(20, 6) + " x " + prose + " y " + words(30, 5)), (12, long), (13, "the " * 130)]
+    for d in range(20, 60):
+        cut = long.split()
+        for _ in range(rng.randrange(6)):
+            cut[rng.randrange(len(cut))] = words(1)
+        a, b = sorted(rng.sample(range(len(cut)), 2))
+        both = [" ".join(cut[b:] + cut[a:b]), plain, prose, "the " * rng.randrange(45, 90), " ".join(cut[a:b])]
+        out.append((d, " ".join(f"{words(rng.randrange(1, 9), rng.choice([0, 3]))} {p}" for p in rng.sample(both, rng.randrange(1, 4)))))
+    return [*out, (60, " ".join(plain.split()[:50])), (61, " ".join(plain.split()[:49])), (9, words(9) + " ".join(plain.split()[5:56])), (62, "「" + plain + "。」 z"), (63, plain.replace(" ", "\n"))]
+
+
+def test_passages_inside_sentences_go(spark):
+    made = planted_passages()
+    for min_words in (50, 7):
+        want = brute_spans(made, min_words)
+        df = spark.createDataFrame([(d, t) for d, t in made], "doc_id long, text string").repartition(3)
+        spans = {r["doc"]: {i for s in r["spans"] for i in range(s >> 32, s & 0xFFFFFFFF)} for r in ld.copied_spans(df.selectExpr("doc_id AS doc", "text"), min_words, 5).collect()}
+        assert spans == {d: w for (d, _), w in zip(made, want, strict=True) if w}
+        got = {r["doc_id"]: r for r in ld.dedup_lines(df, min_words=min_words, max_broadcast_rows=40).collect()}
+        for (d, t), w in zip(made, want, strict=True):
+            gone = ld.going(t, [i << 32 | i + 1 for i in w], min_words)
+            assert got[d]["text"].split() == [x for i, x in enumerate(t.split()) if i not in gone] and got[d]["n_words_removed"] == len(gone)
+            assert gone <= w and all(gone & set(range(i, i + min_words)) for i in range(len(t.split())) if w >= set(range(i, i + min_words)))
+
+
+def test_planted_mid_sentence(spark):
+    own = lambda k, n: " ".join(f"own{k}x{i}" for i in range(n))
+    bare = " ".join(f"w{i}" for i in range(60))
+    cut = " ".join(f"v{i}" + ("." if i in (19, 39) else "") for i in range(58))
+    made = [(1, f"{own(1, 5)} {bare} {own(2, 5)}"), (2, f"{own(3, 4)} {bare} {own(4, 9)}"), (3, f"{own(5, 2)} {cut} {own(6, 2)}."), (4, f"{own(7, 3)} {cut} {own(8, 1)}. Own end.")]
+    got = {r["doc_id"]: (r["text"], r["n_words_removed"]) for r in ld.dedup_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == {1: (made[0][1], 0), 2: (f"{own(3, 4)} {own(4, 9)}", 60), 3: (made[2][1], 0), 4: (f"{own(7, 3)} {own(8, 1)}. Own end.", 58)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=30), st.lists(st.integers(0, 3), max_size=30), st.integers(2, 8))
+def test_alignment_of_a_pair_gives_the_same(later, owner, min_words):
+    spans = brute_spans([(1, " ".join(map(str, owner))), (2, " ".join(map(str, later)))], min_words)[1]
+    assert set(ld.copied(later, [1] * len(later), owner, [1] * len(owner), min_words)) == spans
