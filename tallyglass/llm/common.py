@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -21,10 +25,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a temporary one if unset (tests)."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, or what setCheckpointDir() was given. Where
+    neither is set, a temporary folder serves if all tasks run in this very process (master local[...]); elsewhere that is an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tallyglass-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
@@ -32,7 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """df computed once and stored in the shared folder, its lineage cut. Spark removes the files once df is garbage."""
+    """df computed once and stored in the shared folder, its lineage cut. Spark removes the files once df is garbage, if the session
+    was made with spark.cleaner.referenceTracking.cleanCheckpoints, as session() does."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -84,9 +92,31 @@ def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(_alone(run), schema)
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """df (already stored, so cheap to count) with a broadcast hint if it has max_rows rows at most; else df for a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: Bytes that a row takes in a broadcast table besides its values.
+ROW_BYTES = 32
+
+
+def value_bytes(c: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, StringType | ArrayType | StructType):
+            return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda a, x: a + value_bytes(x, kind.elementType)), F.lit(16).cast("long"))
+        return 8 * F.greatest(F.size(c), F.lit(0)) + 16
+    if isinstance(kind, StructType):
+        return reduce(add, (value_bytes(c[f.name], f.dataType) for f in kind.fields))
+    return F.lit(8)
+
+
+def table_bytes(df: DataFrame) -> int:
+    """About how many bytes df (already stored, so cheap to read) would take as a broadcast table."""
+    return int(df.agg(F.sum(reduce(add, (value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields)).cast("long") + ROW_BYTES)).first()[0] or 0)
+
+
+def small(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+    """df (already stored) with a broadcast hint if it takes max_bytes at most; else df, for a shuffled join."""
+    return F.broadcast(df) if table_bytes(df) <= max_bytes else df
 
 
 def free(name: str, taken: list[str]) -> str:

@@ -238,7 +238,7 @@ def going(text: str, spans: list[int], min_words: int) -> set[int]:
     return set(np.flatnonzero(gone).tolist())
 
 
-def copied_spans(docs: DataFrame, min_words: int, max_broadcast_rows: int) -> DataFrame:
+def copied_spans(docs: DataFrame, min_words: int, max_broadcast_bytes: int) -> DataFrame:
     """(doc, hash, spans): for each text, named by its hash, the spans of words (start << 32 | end) that earlier documents have; rows only where
     there are any. docs: doc, text."""
     gram = max(1, 2 * min_words // 5)
@@ -279,19 +279,19 @@ def copied_spans(docs: DataFrame, min_words: int, max_broadcast_rows: int) -> Da
     unlike = keep(shared.filter("open").drop("owner").join(owners, "stretch").select("doc", "hash", "place", "owner"))
     # stretches that differ around the same print: the first document of each shows its runs
     shown = keep(unlike.filter("owner = doc").groupBy("doc", "hash").agg(F.collect_set("place").alias("places")))
-    runs = keep(arrow_map(texts.join(small(shown, max_broadcast_rows), ["doc", "hash"]).select("doc", "hash", "text", "places"), opened, "doc long, hash long, key array<long>, place array<long>"))
+    runs = keep(arrow_map(texts.join(small(shown, max_broadcast_bytes), ["doc", "hash"]).select("doc", "hash", "text", "places"), opened, "doc long, hash long, key array<long>, place array<long>"))
     runs = each(runs, "key", "place")
     firsts = runs.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("key", "owner")
     spans = [x.filter("owner < doc").select("doc", "hash", "place") for x in (shared.filter("not open"), unlike, runs.join(firsts, "key"))]
     return spans[0].union(spans[1]).union(spans[2]).groupBy("doc", "hash").agg(F.collect_set("place").alias("spans"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_broadcast_rows: int = 200_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_broadcast_bytes: int = 32 << 20) -> DataFrame:
     """docs with the text of each row less its copied passages, and n_words_removed, n_words_left."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     names = [c for c in docs.columns if c not in ("n_words_removed", "n_words_left")]
     of, named, places = (free(c, docs.columns) for c in ("copy_doc", "copy_hash", "copy_places"))
-    gone = keep(copied_spans(rows, min_words, max_broadcast_rows).select(F.col("doc").alias(of), F.col("hash").alias(named), F.col("spans").alias(places)))
+    gone = keep(copied_spans(rows, min_words, max_broadcast_bytes).select(F.col("doc").alias(of), F.col("hash").alias(named), F.col("spans").alias(places)))
 
     def edit(batches):
         for b in batches:
@@ -305,5 +305,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lost, pa.int64()), pa.array(left, pa.int64())], names=[*names, "n_words_removed", "n_words_left"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    joined = docs.select(names).join(small(gone, max_broadcast_rows), (F.col(id_col) == F.col(of)) & (F.xxhash64(text_col) == F.col(named)), "left").select(*names, places)
+    joined = docs.select(names).join(small(gone, max_broadcast_bytes), (F.col(id_col) == F.col(of)) & (F.xxhash64(text_col) == F.col(named)), "left").select(*names, places)
     return arrow_map(joined, edit, f"{fields}, n_words_removed long, n_words_left long")

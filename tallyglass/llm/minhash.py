@@ -1,16 +1,19 @@
 """MinHash near-duplicate groups: many universal hash minima, banding, verification and connected components.
 
-1. Each text becomes the set of hashes of its runs of `shingle` words, and `bands * rows` minima over it, one for each
-   of as many universal hash functions; each band of minima is one key. With 5 rows and 30 bands a pair of similarity
-   0.8 shares no key in 7 of a million cases, a closer pair in fewer.
+1. Each text becomes the set of hashes of its runs of `shingle` words, and its signature is `bands * rows` minima over it,
+   one for each of as many universal hash functions; each band of minima is one key. With 5 rows and 30 bands a pair of
+   similarity 0.8 shares no key in 7 of a million cases, a closer pair in fewer.
 2. Texts with equal sets are one class, stood for by its smallest id; copies go no further.
-3. A bucket is the classes with one key. Its members are compared with pivots of it, not all with all: first one pivot
-   (the member with the most neighbours), then, in buckets that still hold more than one component, more of them each
-   round. A member that was a pivot has been held against all others and leaves. Pairs within one component need no
-   comparison, nor do pairs that cannot be similar by their sizes or by what each shares with the first pivot. So the
-   rounds end with each pair of each bucket compared, connected or ruled out: no link is missed for want of a comparison.
-4. Pairs are verified on their full sets; components of the verified links are found by
-   alternating large-star and small-star.
+3. A bucket is the classes with one key. First each bucket is compared with its pivot alone, the member with the most
+   neighbours in its buckets: what was copied from one text hangs together after that.
+4. Members of buckets that are still in several parts (the crowd) are paired by the exact prefix filter: their shingles are
+   put in one order, rare ones first, and two sets can only be similar enough if they share one of their first few, at
+   places that leave room for the rest of what they must share. Texts that only have a common passage, and copies that
+   are each far from the others, differ in their rare shingles and so meet nowhere. Pairs inside one part need no
+   comparison and are never made: of each group of places one side is always outside of the group's largest part. No pair
+   of a bucket is lost.
+5. Candidates are verified on their signatures (fewer equal minima than a pair at the limit has but in `risk` of cases: out)
+   and then on their full sets; components of the verified links are found by alternating large-star and small-star.
 
 Results for odd input: texts without words, null texts and rows without an id are linked with nothing; a text of fewer
 words than a shingle has its whole sequence as its only one; rows that repeat an id are one document with the links of
@@ -19,12 +22,13 @@ all of them; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .common import arrow_map, keep, small
 from .components import components
@@ -32,6 +36,11 @@ from .components import components
 SEED = 20_250
 #: Set members hashed by all functions at once, at most: bounds the memory of one text.
 CHUNK = 512
+#: The crowd's most frequent shingles, so many at most, stand last and by frequency; all others by their hash. Any order is
+#: exact, this one makes small groups.
+RANKED = 1 << 16
+#: Sizes of sets are put in classes, each so many times the one before.
+CLASS = 1.1
 
 
 class Words(dict):
@@ -76,27 +85,26 @@ def minima(members: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least >> np.uint64(32)
 
 
-def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc, n, k1, k2, keys): size of the set, two hashes that name it, and the key of each band."""
+def signatures(docs: DataFrame, shingle: int, count: int) -> DataFrame:
+    """(doc, n, k1, k2, sig): size of the set, two hashes that name it, and its minima."""
 
     def run(batches):
-        a, b = functions(bands * rows)
+        a, b = functions(count)
         words = Words()
         for batch in batches:
-            n, k1, k2, keys = [], [], [], []
+            n, k1, k2, sig = [], [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), shingle, words)
                 n.append(len(s))
                 name = xxhash.xxh3_128_intdigest(s.tobytes())
                 k1.append((name >> 64) - (1 << 63))
                 k2.append((name & (1 << 64) - 1) - (1 << 63))
-                m = minima(s, a, b).reshape(bands, rows) if len(s) else ()
-                keys.append(np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(m)], np.uint64).view(np.int64))
-            flat = pa.array(np.concatenate(keys) if keys else [], pa.int64())
-            ends = np.cumsum([0, *map(len, keys)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["doc", "n", "k1", "k2", "keys"])
+                sig.append(minima(s, a, b).astype(np.uint32).view(np.int32) if len(s) else np.zeros(0, np.int32))
+            ends = np.cumsum([0, *map(len, sig)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sig) if sig else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), lists], names=["doc", "n", "k1", "k2", "sig"])
 
-    return arrow_map(docs, run, "doc long, n long, k1 long, k2 long, keys array<long>")
+    return arrow_map(docs, run, "doc long, n long, k1 long, k2 long, sig array<int>")
 
 
 def sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -113,34 +121,98 @@ def sets(docs: DataFrame, shingle: int) -> DataFrame:
     return arrow_map(docs, run, "doc long, members array<long>")
 
 
-def compared(pairs: DataFrame, members: DataFrame, percent: int, max_broadcast_bytes: int) -> DataFrame:
-    """The pairs (doc, pivot) with linked: whether their full sets are similar enough, and both: the size of the intersection
-    (null where an id has several sets). Pivots are few as a rule: up to
+def least_equal(count: int, percent: int, risk: float) -> int:
+    """The most equal minima of `count` that can be asked for if a pair of similarity percent / 100 may have fewer in `risk` of cases."""
+    p, below, k = percent / 100, 0.0, 0
+    while k < count and below + (term := math.comb(count, k) * p**k * (1 - p) ** (count - k)) <= risk:
+        below, k = below + term, k + 1
+    return k
+
+
+def verified(pairs: DataFrame, signed: DataFrame, members: DataFrame, percent: int, least: int, max_broadcast_bytes: int) -> DataFrame:
+    """The pairs (doc, pivot) that have `least` equal minima and whose full sets are similar enough. Pivots are few as a rule: up to
     max_broadcast_bytes their sets are broadcast, so that no set is shuffled along with each of its pairs."""
-    wanted = keep(pairs.select("pivot").distinct())
-    pivots = members.join(small(wanted, 1_000_000), F.col("doc") == F.col("pivot"), "left_semi").select(F.col("doc").alias("pivot"), F.col("members").alias("theirs"))
-    size = members.join(small(wanted, 1_000_000), F.col("doc") == F.col("pivot"), "left_semi").agg(F.sum(8 * F.size("members") + 64)).first()[0] or 0
-    pivots = F.broadcast(pivots) if size <= max_broadcast_bytes else pivots
+    wanted = small(keep(pairs.select("pivot").distinct()), max_broadcast_bytes)
+    theirs = lambda df, c: small(keep(df.join(wanted, F.col("doc") == F.col("pivot"), "left_semi").select(F.col("doc").alias("pivot"), F.col(c).alias("theirs"))), max_broadcast_bytes)
+    equal = F.aggregate(F.zip_with("sig", "theirs", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    close = keep(pairs.join(signed.select("doc", "sig"), "doc").join(theirs(signed, "sig"), "pivot").filter(equal >= least).select("doc", "pivot").distinct())
     both = F.size(F.array_intersect("members", "theirs")).cast("long")
-    counted = pairs.join(members, "doc").join(pivots, "pivot").select("doc", "pivot", both.alias("both"), (F.size("members") + F.size("theirs")).alias("sizes"))
-    linked = F.max(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both")))
-    return counted.groupBy("doc", "pivot").agg(linked.alias("linked"), F.when(F.count("*") == 1, F.max("both")).alias("both"))
+    return close.join(members, "doc").join(theirs(members, "members"), "pivot").filter(100 * both >= percent * (F.size("members") + F.size("theirs") - both)).select("doc", "pivot").distinct()
+
 
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / math.log(CLASS)).astype(np.int64)
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, growth: int = 4, max_broadcast_bytes: int = 32 << 20) -> DataFrame:
+
+def places(crowd: DataFrame, percent: int) -> DataFrame:
+    """(shingle, class, probe, doc, part, n, place) of the first shingles of each set of the crowd (doc, part, members) in the common
+    order. Of two sets the larger one probes, for each class of sizes that its partners at this place may have; the other one
+    is found in the class of its own size."""
+    often = crowd.select(F.explode("members").alias("m")).groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").orderBy(F.desc("c"), "m").limit(RANKED).collect()
+    names = np.array([r["m"] for r in often], np.int64)
+    by_name = np.argsort(names)
+    shared = crowd.sparkSession.sparkContext.broadcast((names[by_name], (len(names) - by_name).astype(np.int64)))
+
+    def ordered(x: np.ndarray) -> np.ndarray:
+        name, rank = shared.value
+        if not len(name):
+            return np.sort(x)
+        at = np.minimum(np.searchsorted(name, x), len(name) - 1)
+        return x[np.lexsort((x, np.where(name[at] == x, rank[at], 0)))]
+
+    def run(batches):
+        for b in batches:
+            out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for doc, part, members in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                x = ordered(members.values.to_numpy(zero_copy_only=False))
+                n, i = len(x), np.arange(len(x))
+                most = (n - i) * (100 + percent) // percent - n  # size of a partner that shares all from place i on
+                low = -(-percent * n // 100)
+                found = i[most >= n]
+                probes = i[most >= low]
+                first, last = size_class(np.array([low]))[0], size_class(np.minimum(most[probes], n))
+                times = last - first + 1
+                at = np.concatenate([found, np.repeat(probes, times)])
+                start = np.repeat(np.cumsum(times) - times, times)
+                classes = np.concatenate([np.full(len(found), size_class(np.array([n]))[0]), first + np.arange(times.sum()) - start])
+                for column, values in zip(out, (x[at], classes, np.arange(len(at)) >= len(found), np.full(len(at), doc.as_py()), np.full(len(at), part.as_py()), np.full(len(at), n), at), strict=True):
+                    column.append(values)
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], k) for c, k in zip(out, kinds, strict=True)], names=["shingle", "class", "probe", "doc", "part", "n", "place"])
+
+    return arrow_map(crowd.select("doc", "part", "members"), run, "shingle long, class long, probe boolean, doc long, part long, n long, place long")
+
+
+def prefix_pairs(crowd: DataFrame, percent: int) -> DataFrame:
+    """(doc, pivot): all pairs of different parts of the crowd that the prefix filter leaves."""
+    at = keep(places(crowd, percent))
+    by_part = at.groupBy("shingle", "class", "part").agg(F.count("*").alias("c"))
+    groups = by_part.groupBy("shingle", "class").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.max_by("part", F.struct("c", "part")).alias("main")).filter("a < b").select("shingle", "class", "main")
+    met = keep(at.join(groups, ["shingle", "class"]).withColumn("other", F.col("part") != F.col("main")))
+    found = met.filter("not probe")
+    probes = met.filter("probe").select("shingle", "class", *(F.col(c).alias(f"p_{c}") for c in ("doc", "part", "n", "place", "other")))
+    room = F.least(F.col("n") - F.col("place"), F.col("p_n") - F.col("p_place"))  # what both can share from here on
+    may = (F.col("part") != F.col("p_part")) & ((F.col("n") < F.col("p_n")) | (F.col("n") == F.col("p_n")) & (F.col("doc") < F.col("p_doc"))) & (room * (100 + percent) >= percent * (F.col("n") + F.col("p_n")))
+    ways = [found.filter("other").join(probes, ["shingle", "class"]).filter(may), found.filter("not other").join(probes.filter("p_other"), ["shingle", "class"]).filter(may)]
+    return ways[0].unionByName(ways[1]).select("doc", F.col("p_doc").alias("pivot")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, risk: float = 1e-9, max_broadcast_bytes: int = 32 << 20) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row. component_id: the smallest id reachable over links of percent / 100
-    similarity or more; kept: whether this is it. growth: by how much the number of pivots of a bucket grows each round."""
+    similarity or more; kept: whether this is it. risk: see the module."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    signed = keep(signatures(texts, shingle, bands, rows))
+    signed = keep(signatures(texts, shingle, bands * rows))
     classes = keep(signed.filter("n > 0 and doc is not null").groupBy("k1", "k2").agg(F.min("doc").alias("rep")))
 
     # a class's keys come from the row that stands for it
-    stands = signed.join(classes.select("k1", "k2", F.col("rep").alias("doc")), ["k1", "k2", "doc"], "left_semi").dropDuplicates(["k1", "k2", "doc"])
-    keyed = stands.select("doc", "n", F.explode("keys").alias("key")).dropDuplicates(["doc", "key", "n"])
+    stands = signed.join(classes.select("k1", "k2", F.col("rep").alias("doc")), ["k1", "k2", "doc"], "left_semi").select("doc", "n", "sig").distinct()
+    keys = F.array(*(F.xxhash64(F.lit(k), F.slice("sig", k * rows + 1, rows)) for k in range(bands)))
+    keyed = stands.select("doc", "n", F.explode(keys).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("key")
     members = keep(keyed.join(shared, "key").select("key", "doc", "n"))
-    candidates = keep(members.select("doc").distinct())
-    full = keep(sets(texts.join(small(candidates, 2_000_000), "doc", "left_semi"), shingle).distinct())
+    candidates = small(keep(members.select("doc").distinct()), max_broadcast_bytes)
+    signs = keep(stands.join(candidates, "doc", "left_semi"))
+    full = keep(sets(texts.join(candidates, "doc", "left_semi"), shingle).distinct())
 
     # rows that repeat an id with other texts: their classes are one document's
     of_id = signed.filter("n > 0").join(classes, ["k1", "k2"]).select("doc", "rep").distinct()
@@ -148,42 +220,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = of_id.join(first, "doc").select(F.col("rep").alias("u"), F.col("first").alias("v"))
 
     # members with many neighbours in their buckets are likely to be what the others were copied from
-    crowd = members.groupBy("key").agg(F.count("*").alias("crowd"))
-    score = members.join(crowd, "key").groupBy("doc").agg(F.sum("crowd").alias("score"))
+    crowds = members.groupBy("key").agg(F.count("*").alias("crowd"))
+    score = members.join(crowds, "key").groupBy("doc").agg(F.sum("crowd").alias("score"))
     members = keep(members.join(score, "doc"))
-    links = keep(links)
-    hubs = tried = None
-    pivots = 1
-    while True:
-        labels = keep(components(links))
-        members = members.join(labels, F.col("doc") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc")).drop("node", "component")
-        still = members.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").select("key")
-        members = keep(members.join(still, "key"))
-        if members.isEmpty():
-            break
-        # members of the smallest parts of a bucket go first, as they have the most left to be compared with
-        weight = members.groupBy("key", "part").agg(F.count("*").alias("weight"))
-        rank = F.row_number().over(W.partitionBy("key").orderBy("weight", F.desc("score"), "doc", "n"))
-        of_pivot = [F.col(c).alias(f"p_{c}") for c in members.columns if c not in ("key", "doc", "score")]
-        chosen = keep(members.join(weight, ["key", "part"]).withColumn("rank", rank).filter(F.col("rank") <= pivots).select("key", F.col("doc").alias("pivot"), *of_pivot))
-        may = (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & (F.col("part") != F.col("p_part"))
-        if hubs is not None:
-            # of what both share with the first pivot, and of what neither does, they share the smaller at most
-            most = F.least("h_both", "p_h_both") + F.least(F.col("n") - F.col("h_both"), F.col("p_n") - F.col("p_h_both"))
-            may = may & F.coalesce(100 * most >= percent * (F.col("n") + F.col("p_n") - most), F.lit(True))
-        pairs = members.join(chosen, "key").filter(may).groupBy(F.greatest("doc", "pivot").alias("u"), F.least("doc", "pivot").alias("v")).agg(F.min("pivot").alias("pivot"))
-        pairs = keep(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
-        tried = pairs.select("u", "v") if tried is None else tried.unionByName(pairs.select("u", "v"))
-        counted = keep(compared(pairs.select((F.col("u") + F.col("v") - F.col("pivot")).alias("doc"), "pivot"), full, percent, max_broadcast_bytes))
-        linked = counted.filter("linked")
-        links = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(linked.select(F.col("doc").alias("u"), F.col("pivot").alias("v")))
-        members = members.join(chosen.select("key", F.col("pivot").alias("doc"), F.col("p_n").alias("n")), ["key", "doc", "n"], "left_anti").drop("part")
-        if hubs is None:
-            hubs = keep(chosen.select("key", F.col("pivot").alias("hub")))
-            members = members.join(hubs, "key").join(counted.select("doc", F.col("pivot").alias("hub"), F.col("both").alias("h_both")), ["doc", "hub"], "left").drop("hub")
-        pivots *= growth
-
-    parts = labels.withColumnRenamed("node", "rep")
+    best = F.max(F.struct("score", (-F.col("doc")).alias("minus"), "n"))
+    pivots = keep(members.groupBy("key").agg(best.alias("p")).select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("p_n")))
+    may = (F.col("doc") != F.col("pivot")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
+    pairs = keep(members.join(pivots, "key").filter(may).groupBy(F.greatest("doc", "pivot").alias("u"), F.least("doc", "pivot").alias("v")).agg(F.min("pivot").alias("pivot")))
+    least = least_equal(bands * rows, percent, risk)
+    linked = verified(pairs.select((F.col("u") + F.col("v") - F.col("pivot")).alias("doc"), "pivot"), signs, full, percent, least, max_broadcast_bytes)
+    links = keep(links.unionByName(linked.select(F.col("doc").alias("u"), F.col("pivot").alias("v"))))
+    labels = keep(components(links))
+
+    # a pivot has been held against all others of its bucket; what is left of it in several parts goes on
+    part = F.coalesce("component", "doc").alias("part")
+    rest = members.join(pivots, "key").filter("doc <> pivot").select("key", "doc").join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", part)
+    still = rest.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").select("key")
+    crowd = small(keep(rest.join(still, "key").select("doc", "part").distinct()), max_broadcast_bytes)
+    met = keep(prefix_pairs(keep(full.join(crowd, "doc")), percent).join(pairs.select("u", "v"), (F.greatest("doc", "pivot") == F.col("u")) & (F.least("doc", "pivot") == F.col("v")), "left_anti"))
+    linked = verified(met, signs, full, percent, least, max_broadcast_bytes)
+    parts = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(linked.select(F.col("doc").alias("u"), F.col("pivot").alias("v")))).withColumnRenamed("node", "rep")
     of_class = classes.join(parts, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     found = signed.join(of_class, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))

@@ -86,7 +86,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_fit_docs: int) -> DataFrame
     """(text, low, toxic, held) of a bounded sample of labelled documents, of near copies one; a quarter is held out. Words of a
     text that was copied often would else pass for words that often come with its label."""
     chosen = keep(labels.filter("doc is not null").groupBy("doc").agg(*(F.max(t).alias(t) for t in TARGETS)).orderBy(F.xxhash64("doc")).limit(max_fit_docs))
-    sample = docs.join(small(chosen, max_fit_docs), "doc").select("doc", "text", *TARGETS)
+    sample = docs.join(small(chosen), "doc").select("doc", "text", *TARGETS)
     for pick in (F.array_min, F.array_max):
         first = F.min_by(F.struct(*sample.columns), F.struct(F.xxhash64("doc"), F.xxhash64("text"))).alias("r")
         sample = sample.groupBy(sketch(F.col("text"), pick).alias("k")).agg(first).select("r.*")
@@ -240,7 +240,7 @@ def classify(
     logit = lambda p: F.log(p / (1 - p))
     priors = None
     for k in range(rounds + 1):
-        now = rated if priors is None else rated.join(small(priors, 100_000), ["host", "path"], "left")
+        now = rated if priors is None else rated.join(small(priors), ["host", "path"], "left")
         for t in TARGETS:
             prior = F.lit(models[t]["rate"]) if priors is None else F.col(f"rate_{t}")
             prior = F.least(F.greatest(prior, F.lit(1e-6)), F.lit(1 - 1e-6))

@@ -166,7 +166,7 @@ def write_index(spark: SparkSession, root: str) -> DataFrame:
 def with_starts(index: DataFrame) -> DataFrame:
     """The index with start: tokens of all records before. Only a row for each file is summed up in one place."""
     totals = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return index.join(small(totals, 1_000_000), "file").withColumn("start", F.col("before") + F.col("start_in_file"))
+    return index.join(small(totals), "file").withColumn("start", F.col("before") + F.col("start_in_file"))
 
 
 def read_sequences(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:

@@ -153,9 +153,9 @@ def test_passages_inside_sentences_go(spark):
     for min_words in (50, 7):
         want = brute_spans(made, min_words)
         df = spark.createDataFrame([(d, t) for d, t in made], "doc_id long, text string").repartition(3)
-        spans = {r["doc"]: {i for s in r["spans"] for i in range(s >> 32, s & 0xFFFFFFFF)} for r in ld.copied_spans(df.selectExpr("doc_id AS doc", "text"), min_words, 5).collect()}
+        spans = {r["doc"]: {i for s in r["spans"] for i in range(s >> 32, s & 0xFFFFFFFF)} for r in ld.copied_spans(df.selectExpr("doc_id AS doc", "text"), min_words, 200).collect()}
         assert spans == {d: w for (d, _), w in zip(made, want, strict=True) if w}
-        got = {r["doc_id"]: r for r in ld.dedup_lines(df, min_words=min_words, max_broadcast_rows=40).collect()}
+        got = {r["doc_id"]: r for r in ld.dedup_lines(df, min_words=min_words, max_broadcast_bytes=2000).collect()}
         for (d, t), w in zip(made, want, strict=True):
             gone = ld.going(t, [i << 32 | i + 1 for i in w], min_words)
             assert got[d]["text"].split() == [x for i, x in enumerate(t.split()) if i not in gone] and got[d]["n_words_removed"] == len(gone)
