@@ -3,13 +3,18 @@
 Of each text the hashes of its runs of `gram` words are taken, and of each stretch of `window` such hashes the smallest
 is kept as a fingerprint, with its place. Two texts that share gram + window - 1 words in a row share a fingerprint, so
 with 7 and 7 no shared span of 13 words is missed. Fingerprints of documents and benchmark items are joined; each hit
-gives a diagonal (document place less item place), and along it the hit is extended: every window of `span` item words
-that stands in the document on that diagonal is found by comparing the words themselves. Items of fewer than `span`
-words are one window; these are found by the hash of all their words.
+gives a diagonal (document place less item place). All diagonals of a text come together in one row, its words are split
+once, and along each diagonal the hit is extended: every window of `span` item words that stands in the text there is
+found by comparing the words themselves. The work on a text that repeats grows with its places times the item's
+windows, not with the square of its words. Items of fewer than `span` words are one window; their only fingerprint is
+the hash of all their words, looked for at each place.
+
+A row is known by its id and a hash of its text, nulls included, so each row is judged by its own text alone.
 
 Results for odd input: null and empty texts have no words, hit nothing and are not contaminated; items without words
-are never hit; rows that repeat an id count as one document with the hits of all of them (each row keeps its own
-n_words); a null id is an id like others; other columns are not read.
+are never hit; rows that repeat an id are judged one by one, repeated rows alike; a null id is an id like others, and so
+is a null item id (a hit by it contaminates, but it is not listed, as it has no name); items that repeat an id are one
+item with the windows of all of them; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import alnum_words, keep, let, small, windows
 
+#: A word of letters, digits and non-ASCII characters.
+WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
 
 def grams(hashes: Column, n: int) -> Column:
     """Hashes of all runs of n words."""
@@ -26,7 +34,7 @@ def grams(hashes: Column, n: int) -> Column:
 
 
 def winnow(gram_hashes: Column, window: int) -> Column:
-    """[(place, hash)] of the smallest hash of each window (the leftmost of equals), each place once."""
+    """[(place, print)] of the smallest hash of each window (the leftmost of equals), each place once."""
 
     def places(g: Column) -> Column:
         return F.array_distinct(windows(F.size(g) - window + 1, lambda i: let(F.slice(g, i + 1, window), lambda s: i + F.array_position(s, F.array_min(s)).cast("int") - 1)))
@@ -34,37 +42,43 @@ def winnow(gram_hashes: Column, window: int) -> Column:
     return let(gram_hashes, lambda g: F.transform(places(g), lambda p: F.struct(p.alias("place"), F.element_at(g, p + 1).alias("print"))))
 
 
+def runs(hashes: Column, n: int) -> Column:
+    """[(place, print)] of all runs of n words."""
+    return F.transform(grams(hashes, n), lambda h, i: F.struct(i.alias("place"), h.alias("print")))
+
+
 def hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def fingerprints(rows: DataFrame, key: str, words: Column, gram: int, window: int) -> DataFrame:
-    """(key, place, print) of all rows."""
-    return rows.select(key, F.explode(let(hashed(words), lambda h: winnow(grams(h, gram), window))).alias("f")).select(key, "f.place", "f.print")
-
-
-def hits(docs: DataFrame, items: DataFrame, span: int, gram: int, window: int, max_broadcast_rows: int) -> DataFrame:
-    """(doc, item, starts, length): where windows of an item stand in a document. docs: doc, text; items: item, text."""
-    items = keep(items.select("item", alnum_words(F.col("text")).alias("item_words")).filter(F.size("item_words") > 0).distinct())
-    words = alnum_words(F.col("text"))
-    long_items = items.filter(F.size("item_words") >= span)
-    theirs = keep(fingerprints(long_items, "item", F.col("item_words"), gram, window).withColumnRenamed("place", "item_place"))
-    found = fingerprints(docs, "doc", words, gram, window).join(small(theirs, max_broadcast_rows), "print").select("doc", "item", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
-    lengths = [r[0] for r in items.filter(F.size("item_words") < span).select(F.size("item_words")).distinct().collect()]  # span - 1 at most
-    for n in lengths:
-        short = keep(items.filter(F.size("item_words") == n).select("item", F.xxhash64(hashed(F.col("item_words"))).alias("print")))
-        own = docs.select("doc", F.posexplode(let(hashed(words), lambda h: grams(h, n))).alias("diagonal", "print"))  # noqa: B023
-        found = found.unionByName(own.join(small(short, max_broadcast_rows), "print").select("doc", "item", "diagonal").distinct())
-    found = keep(found)
-    pairs = found.join(small(items, max_broadcast_rows), "item")
-    # few documents are hit as a rule: then their texts are found without shuffling all texts
-    with_text = docs.join(small(pairs, max_broadcast_rows // 10), "doc").select("doc", "item", "diagonal", "item_words", words.alias("words"))
-    length = F.least(F.size("item_words"), F.lit(span))
-    first = F.greatest(F.lit(0), -F.col("diagonal"))
-    count = F.least(F.size("item_words"), F.size("words") - F.col("diagonal")) - first - length + 1
-    same = lambda i: F.slice("words", first + i + F.col("diagonal") + 1, length) == F.slice("item_words", first + i + 1, length)
-    starts = windows(count, lambda i: F.when(same(i), first + i + F.col("diagonal")))
-    return with_text.select("doc", "item", length.alias("length"), F.array_compact(starts).alias("starts")).filter(F.size("starts") > 0)
+def hits(rows: DataFrame, benchmark: DataFrame, span: int, gram: int, window: int, max_broadcast_bytes: int) -> DataFrame:
+    """(doc, named, hits): for each row that shares a fingerprint with items, these items' words and the diagonals.
+    rows: doc, named, text; benchmark: item, text."""
+    items = keep(benchmark.select("item", alnum_words(F.col("text")).alias("words")).filter(F.size("words") > 0).distinct().withColumn("item_key", F.xxhash64("item", "words")))
+    h = hashed(F.col("words"))
+    long_prints = items.filter(F.size("words") >= span).select("item_key", F.explode(let(h, lambda x: winnow(grams(x, gram), window))).alias("f")).select("item_key", "f.place", "f.print")
+    short_prints = items.filter(F.size("words") < span).select("item_key", F.lit(0).alias("place"), F.xxhash64(h).alias("print"))
+    prints = keep(long_prints.unionByName(short_prints).withColumnRenamed("place", "item_place"))
+    lengths = sorted(r[0] for r in items.filter(F.size("words") < span).select(F.size("words")).distinct().collect())  # span - 1 at most
+    own = let(hashed(alnum_words(F.col("text"))), lambda x: F.concat(winnow(grams(x, gram), window), *(runs(x, n) for n in lengths)))
+    found = rows.select("doc", "named", F.explode(own).alias("f")).select("doc", "named", "f.place", "f.print").join(small(prints, max_broadcast_bytes), "print")
+    pairs = keep(found.groupBy("doc", "named", "item_key").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("diagonals")))
+    hit = F.struct("item", "words", "diagonals")
+    return pairs.join(small(items, max_broadcast_bytes), "item_key").groupBy("doc", "named").agg(F.collect_list(hit).alias("hits"))
+
+
+def extended(words: Column, hit: Column, span: int) -> Column:
+    """[(start, end)]: where windows of the hit's item stand in the text, along its diagonals."""
+    theirs = hit["words"]
+    length = F.least(F.size(theirs), F.lit(span))
+
+    def along(d: Column) -> Column:
+        first = F.greatest(F.lit(0), -d)
+        count = F.least(F.size(theirs), F.size(words) - d) - first - length + 1
+        at = lambda i: F.when(F.slice(words, first + i + d + 1, length) == F.slice(theirs, first + i + 1, length), first + i + d)
+        return F.array_compact(windows(count, at))
+
+    return F.transform(F.flatten(F.transform(hit["diagonals"], along)), lambda s: F.struct(s.cast("long").alias("start"), (s + length).cast("long").alias("end")))
 
 
 def covered(spans: Column) -> Column:
@@ -75,20 +89,24 @@ def covered(spans: Column) -> Column:
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 13, gram: int = 7, window: int = 7, share: int = 20, max_broadcast_rows: int = 1_000_000
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 13, gram: int = 7, window: int = 7, share: int = 20, max_broadcast_bytes: int = 32 << 20
 ) -> DataFrame:
-    """(id, n_words, n_hit, items, contaminated) for each row: words inside benchmark windows, the items that hit (as sorted
-    strings), and whether there are any and share * n_hit >= n_words. Fingerprints of the benchmark are broadcast up to
-    max_broadcast_rows, joined by shuffle beyond."""
+    """(id, text_hash, n_words, n_hit, items, contaminated) for each row: words inside benchmark windows, the items that hit (as
+    sorted strings), and whether there are any and share * n_hit >= n_words. Fingerprints of the benchmark, and the hits, are
+    broadcast up to max_broadcast_bytes, joined by shuffle beyond."""
     if gram + window - 1 > span:
         raise ValueError("spans of so few words may share no fingerprint")
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    found = hits(rows.filter(F.col("doc").isNotNull()), benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")), span, gram, window, max_broadcast_rows)
-    each = found.select("doc", "item", F.explode("starts").alias("start"), "length").select("doc", F.col("item").cast("string").alias("item"), F.struct(F.col("start").alias("start"), (F.col("start") + F.col("length")).alias("end")).alias("span"))
-    # a document's spans are at most as many as its words times the lengths of windows
-    by_doc = each.groupBy("doc").agg(F.collect_set("span").alias("spans"), F.array_sort(F.collect_set("item")).alias("items")).select("doc", covered(F.array_sort("spans")).alias("n_hit"), "items")
-    n_words = rows.select("doc", F.size(alnum_words(F.col("text"))).cast("long").alias("n_words"))
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return n_words.join(by_doc, "doc", "left").select(
-        F.col("doc").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated")
-    )
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("named"), F.col(text_col).alias("text"))
+    found = keep(hits(rows.filter("text is not null"), benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")), span, gram, window, max_broadcast_bytes))
+    # few rows are hit as a rule: then their texts are found without shuffling all texts
+    same_row = lambda a, b: a["doc"].eqNullSafe(b["doc"]) & (a["named"] == b["named"])
+    f = small(found, max_broadcast_bytes)
+    texts = rows.join(f, same_row(rows, f)).select(rows["doc"], rows["named"], "text", "hits").dropDuplicates(["doc", "named"])
+    spans = let(alnum_words(F.col("text")), lambda w: F.transform("hits", lambda h: F.struct(h["item"].cast("string").alias("item"), extended(w, h, span).alias("spans"))))
+    hit = texts.select("doc", "named", F.filter(spans, lambda x: F.size(x["spans"]) > 0).alias("x")).filter(F.size("x") > 0)
+    hit = hit.select("doc", "named", covered(F.array_sort(F.array_distinct(F.flatten(F.col("x.spans"))))).alias("n_hit"), F.array_sort(F.array_distinct(F.array_compact(F.col("x.item")))).alias("items"))
+    hit = small(keep(hit), max_broadcast_bytes)
+    n_words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    out = rows.select("doc", "named", n_words.alias("n_words"))
+    out = out.join(hit, same_row(out, hit), "left").select(out["doc"], out["named"], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select(F.col("doc").alias(id_col), F.col("named").alias("text_hash"), "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))

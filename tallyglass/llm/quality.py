@@ -93,9 +93,9 @@ def labelled(docs: DataFrame, labels: DataFrame, max_fit_docs: int) -> DataFrame
     return keep(sample.select("text", *TARGETS, (F.pmod(F.xxhash64(F.lit("held"), "doc"), F.lit(4)) == 0).alias("held")))
 
 
-def fit(sample: DataFrame, max_features: int) -> dict[str, dict]:
-    """For each target the rate among labelled documents, and of its features (of at most max_features, the surest) the log odds
-    with their standard errors."""
+def fit(sample: DataFrame) -> dict[str, dict]:
+    """For each target the rate among labelled documents, and of its features the log odds with their standard errors.
+    The sample bounds their number."""
 
     def explode(batches):
         for b in batches:
@@ -119,7 +119,7 @@ def fit(sample: DataFrame, max_features: int) -> dict[str, dict]:
         rated = counts.filter((F.col("feature") != "") & (F.col(f"{t}_n") >= MIN_DOCS)).select("feature", (F.log(c1 / (n1 + 1)) - F.log(c0 / (n - n1 + 1))).alias("odds"), F.sqrt(1 / c1 + 1 / c0).alias("error"))
         sure = F.abs("odds") - min(SHRINKS) * F.col("error")
         # absence of a common word says little of a text in another language: only what speaks for the target, or shape, counts
-        rated = rated.filter((sure > 0) & ((F.col("odds") > 0) | F.col("feature").startswith("="))).orderBy(sure.desc(), "feature").limit(max_features)
+        rated = rated.filter((sure > 0) & ((F.col("odds") > 0) | F.col("feature").startswith("=")))
         models[t]["features"] = {f: (x, e) for f, x, e in rated.collect()}
     return models
 
@@ -215,16 +215,19 @@ def site_rates(rated: DataFrame) -> DataFrame:
 
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, quality_col: str = "quality", toxic_col: str = "toxic",
-    max_fit_docs: int = 20_000, max_features: int = 20_000, cutoff: float = 0.5, rounds: int = 4,
+    max_fit_docs: int = 20_000, cutoff: float = 0.5, rounds: int = 4,
 ) -> DataFrame:
-    """(id, host, path, p_low, p_toxic, kept) for each row: posterior probabilities that it is low or toxic; kept if both are below cutoff.
+    """(id, text_hash, host, path, p_low, p_toxic, kept) for each row: posterior probabilities that it is low or toxic; kept if both are below cutoff.
     rounds: how often the sites' rates are estimated anew from the posteriors that they led to.
     host, path: where a document is from, coarse and fine; the columns source and lang by default."""
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
+    # a null site is a site too: names get a mark in front, null is the one without
+    marked = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    plain = lambda c: F.when(F.col(c) != "", F.substring(c, 2, 1 << 30)).alias(c)
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), marked(host).alias("host"), marked(path).alias("path"), F.xxhash64(text_col).alias("named"))
     bad = (F.col(quality_col) == 0).cast("int")
     sample = labelled(rows.select("doc", "text"), labels.select(F.col(id_col).alias("doc"), bad.alias("low"), F.col(toxic_col).cast("int").alias("toxic")), max_fit_docs)
-    models = fit(sample, max_features)
+    models = fit(sample)
     calibrate(sample, models)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
@@ -232,10 +235,10 @@ def classify(
         m = shared.value
         for b in batches:
             scores = [evidence(t.as_py(), m) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *(pa.array([s[k] for s in scores], pa.float64()) for k in range(len(TARGETS)))], names=["doc", "host", "path", *(f"e_{t}" for t in TARGETS)])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(k) for k in (2, 3, 4)), *(pa.array([s[k] for s in scores], pa.float64()) for k in range(len(TARGETS)))], names=["doc", "host", "path", "named", *(f"e_{t}" for t in TARGETS)])
 
     kind = rows.schema["doc"].dataType.simpleString()
-    rated = keep(arrow_map(rows, rate, f"doc {kind}, host string, path string, e_low double, e_toxic double"))
+    rated = keep(arrow_map(rows, rate, f"doc {kind}, host string, path string, named long, e_low double, e_toxic double"))
     logistic = lambda x: 1 / (1 + F.exp(-x))
     logit = lambda p: F.log(p / (1 - p))
     priors = None
@@ -247,4 +250,4 @@ def classify(
             now = now.withColumn(f"p_{t}", logistic(F.col(f"e_{t}") + logit(prior)) if models[t]["bins"] else F.lit(0.0))
         if k < rounds:
             priors = site_rates(now)
-    return now.select(F.col("doc").alias(id_col), "host", "path", *(f"p_{t}" for t in TARGETS), ((F.col("p_low") < cutoff) & (F.col("p_toxic") < cutoff)).alias("kept"))
+    return now.select(F.col("doc").alias(id_col), F.col("named").alias("text_hash"), plain("host"), plain("path"), *(f"p_{t}" for t in TARGETS), ((F.col("p_low") < cutoff) & (F.col("p_toxic") < cutoff)).alias("kept"))

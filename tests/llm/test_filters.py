@@ -39,18 +39,25 @@ def test_decontaminate(spark, docs, rows, empty):
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     items += [(501, "tie tie"), (502, "One"), (503, None), (504, ""), (505, "many words in one very long text many words in one very long"), (505, "many words in one very long text many words in one very long"), (506, "x " * 40)]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc", F.lit(1)).withColumn("print", F.lit(2))
-    for broadcast in (1_000_000, 0):  # both ways of joining
-        got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in decontaminate(docs, bench, max_broadcast_rows=broadcast).collect()), key=str)
-        want = []
-        for d, t in rows:
-            n, h, i, c = brute_hits(t, items, 13) if d is not None else (len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)), 0, [], False)
-            want.append((d, n, h, tuple(i), c))
-        assert got == sorted(want, key=str)
+    twice = spark.createDataFrame([(1, items[0][1]), (1, "nothing of it here"), (None, items[1][1]), (None, None)], "doc_id long, text string")
+    both, all_rows = docs.select("doc_id", "text").unionByName(twice), rows + [(1, items[0][1]), (1, "nothing of it here"), (None, items[1][1]), (None, None)]
+    want = [(d, n, h, tuple(i), c) for d, t in all_rows for n, h, i, c in [brute_hits(t, items, 13)]]
+    for most in (32 << 20, 0):  # both ways of joining
+        got = [(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in decontaminate(both, bench, max_broadcast_bytes=most).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
     assert sum(w[-1] for w in want) > 3
+    assert decontaminate(docs, bench).columns == ["doc_id", "text_hash", "n_words", "n_hit", "items", "contaminated"]
     assert decontaminate(empty, bench).count() == 0
     assert decontaminate(docs, bench.filter("false")).filter("contaminated").count() == 0
 
 
+def test_items_without_an_id(spark):
+    words = " ".join(f"w{k}" for k in range(13))
+    df = spark.createDataFrame([(1, f"so {words} it goes")], "doc_id long, text string")
+    got = decontaminate(df, spark.createDataFrame([(None, words), (None, "it goes"), (3, "GOES")], "item_id long, text string")).first()
+    assert (got["n_words"], got["n_hit"], got["items"], got["contaminated"]) == (16, 15, ["3"], True)
+
+
 def brute_measures(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
