@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir), works on all that the one before it kept
 last return the columns of documents. Between stages the rows are written as Parquet and read again, so a lost executor
 costs one stage's tasks at most.
 
-Results for odd input: stages follow the docstrings of their operators; rows that repeat an id stay or go together;
-rows without an id are never near copies, and stay unless their own text is rejected or contaminated where that can be
-told by id; empty tables pass through.
+Results for odd input: stages follow the docstrings of their operators; the classifier and decontamination judge each row
+by its own text, whatever its id; near copies go by id, so rows that repeat an id stay or go together there, and rows
+without an id are never near copies; other columns than those of documents are carried along; empty tables pass through.
 """
 
 from __future__ import annotations
@@ -22,13 +22,14 @@ from tallyglass.llm.minhash import near_duplicates
 from tallyglass.llm.quality import classify
 from tallyglass.llm.trie_bpe import encode_texts
 
-#: Ids of rows to drop that are broadcast, at most; more are joined by shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
 
-
-def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = keep(ids.filter("doc_id is not null").select(F.col("doc_id").alias(free("gone_id", docs.columns))).distinct())
-    return docs.join(small(gone, MAX_BROADCAST_ROWS), F.col("doc_id") == F.col(gone.columns[0]), "left_anti")
+def _drop(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows that gone names by doc_id and, where it has that column, by text_hash; a null id is an id like others."""
+    by_text = "text_hash" in gone.columns
+    of, named = free("gone_id", docs.columns), free("gone_text", docs.columns)
+    gone = small(keep(gone.select(F.col("doc_id").alias(of), *([F.col("text_hash").alias(named)] if by_text else [])).distinct()))
+    same = F.col("doc_id").eqNullSafe(F.col(of))
+    return docs.join(gone, same & (F.xxhash64("text") == F.col(named)) if by_text else same, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
