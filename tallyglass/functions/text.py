@@ -56,20 +56,27 @@ def extract_sql(c: Column) -> Column:
     return F.when(body == "", F.lit(None)).when(body.rlike(r"(?i)^(select|with)\b"), body).when(other, F.lit(None)).otherwise(F.concat(F.lit("SELECT "), body))
 
 
+#: Where a query starts: SELECT, or WITH and the name of a common table expression.
+START = r"(?:select|with\s+(?:recursive\s+)?\w+\s*(?:\([^)]*\)\s*)?as\s*\()"
+#: A SELECT that a prompt ended in and prose went on from: no FROM, bracket or set operator before the next SELECT.
+LEADING = r"(?is)^select\b(?:(?!\b(?:from|select|union|intersect|except)\b|\().)*(?=\bselect\b)"
+
+
+def query_from(c: Column) -> Column:
+    """c from the first place on where a query starts; empty if none does."""
+    return F.regexp_extract(c, rf"(?is)\b({START}.*)", 1)
+
+
 def extract_batch_sql(c: Column) -> Column:
-    """The query in one line of raw output: fenced with a tag, fenced without, the line itself, or the first SELECT ... FROM ... of a sentence."""
-    line = stripped(c)
-    explained = F.contains(line, F.lit("```")) | F.contains(F.substring(line, 1, 80), F.lit("Based on")) | F.lower(F.substring(line, 1, 100)).rlike("the query|to find|we can")
-    line = F.when(F.startswith(line, F.lit("SELECT ")) & explained, F.substring(line, 8, 1 << 30)).otherwise(line)
-    query = F.coalesce(
-        found(line, r"(?is)```sql\s*(.*?)\s*```"),
-        found(line, r"(?is)```\s*(SELECT.*?)\s*```"),
-        F.when(line.rlike("(?i)^select "), line),
-        found(line, r"(?is)(SELECT\s+.*?FROM\s+.*?)(?:\.(?:\s|$)|```|$)"),
-        line,
-    )
-    query = without_end(query)
-    return squeezed(F.when(query.rlike("(?i)^(select|with)"), query).otherwise(F.concat(F.lit("SELECT "), query)))
+    """The query in a line of raw output, in one line: of the first fenced part that has a query; else the line's own, if it
+    starts with one; else the first one in its prose, up to the end of that sentence. Where there is none the line is the rest
+    of a SELECT."""
+    parts = F.split(stripped(c), "```")
+    fenced = F.filter(F.transform(F.filter(parts, lambda x, i: i % 2 == 1), query_from), lambda x: x != "")
+    line = F.regexp_replace(F.array_join(parts, " "), LEADING, "")
+    prose = F.regexp_replace(query_from(line), r"(?s)\.(?:\s.*)?$", "")
+    own = F.when(line.rlike(rf"(?is)^{START}"), line).when(prose.rlike(r"(?i)\bfrom\b"), prose)
+    return squeezed(without_end(F.coalesce(F.try_element_at(fenced, F.lit(1)), own, F.concat(F.lit("SELECT "), line))))
 
 
 def is_query_shaped(c: Column) -> Column:
@@ -77,13 +84,14 @@ def is_query_shaped(c: Column) -> Column:
     return F.upper(c).startswith("SELECT ") & F.contains(F.upper(c), F.lit("FROM"))
 
 
-def response_text(c: Column) -> Column:
-    """The text of a model server's JSON answer: `response`, the first choice's text or content, or the message's content. Of
-    several JSON lines the last with text counts; what is no JSON is the text itself."""
+#: Where model servers put the text of an answer.
+ANSWER_PATHS = ("response", "message.content", "choices[0].message.content", "choices[0].text", "choices[0].content")
 
-    def of(line: Column) -> Column:
-        get = lambda path: F.nullif(F.get_json_object(line, path), F.lit(""))
-        return F.coalesce(get("$.response"), get("$.choices[0].text"), get("$.choices[0].content"), get("$.choices[0].message.content"), get("$.message.content"))
 
-    texts = F.array_compact(F.transform(F.split(stripped(c), r"\R"), of))
-    return F.coalesce(F.try_element_at(texts, F.lit(-1)), of(stripped(c)), F.when(F.get_json_object(stripped(c), "$").isNotNull(), F.lit("")), stripped(c))
+def response_text(c: Column) -> Column:
+    """The text of a model server's JSON answer (ANSWER_PATHS). Of several JSON lines the last with text counts; what is no JSON is the text itself."""
+    lines = F.filter(F.split(stripped(c), r"\R"), lambda line: line != "")
+    of = lambda line: F.coalesce(*(F.nullif(F.get_json_object(line, f"$.{path}"), F.lit("")) for path in ANSWER_PATHS))
+    texts = F.array_compact(F.transform(F.concat(F.array(stripped(c)), lines), of))
+    is_json = F.exists(lines, lambda line: F.get_json_object(line, "$").isNotNull())
+    return F.coalesce(F.try_element_at(texts, F.lit(-1)), F.when(is_json, F.lit("")), stripped(c))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 #: Words that ask for a chart, in the order in which they are looked for; a bar chart otherwise.
 CHART_WORDS = [("pie", ["pie", "tỷ lệ", "proportion"]), ("line", ["line", "trend", "tháng", "month", "time"]), ("scatter", ["scatter"])]
-#: Points of a scatter chart, at most: a picture holds no more.
+#: Points that a scatter chart draws one by one, at most; beyond that it draws cells of a grid.
 MAX_POINTS = 5_000
 
 
@@ -57,24 +58,40 @@ def encode(schema: T.StructType, kind: str) -> ChartSpec:
     x = labels[0] if labels else names[0] if names else None
     y = numbers[0] if numbers else names[1] if len(names) > 1 else None
     if x is None or y is None:
-        return ChartSpec("none", title="No suitable data", options={"reason": "Insufficient data"})
-    if kind == "scatter":
-        return ChartSpec("scatter", numbers[0], numbers[1], f"{numbers[0]} vs {numbers[1]}") if len(numbers) > 1 else ChartSpec("bar", x, y, "Data Visualization")
-    if kind == "line":
-        return ChartSpec("line", x, y, f"{y} over {x}", {"markers": True, "area": True})
-    if kind == "pie":
-        return ChartSpec("pie", x, y, f"{y} by {x}", {"label": "share"})
-    return ChartSpec("bar", x, y, f"{y} by {x}", {"value_labels": True})
+        return ChartSpec("none", options={"reason": "a chart needs a column of labels and one of values"})
+    if kind == "scatter" and len(numbers) > 1:
+        return ChartSpec("scatter", numbers[0], numbers[1], f"{numbers[1]} against {numbers[0]}")
+    options = {"line": {"markers": True, "area": True}, "pie": {"label": "share"}}
+    return ChartSpec(kind if kind in options else "bar", x, y, f"{y} by {x}", options.get(kind, {"value_labels": True}))
+
+
+def gridded(df: DataFrame, max_points: int) -> DataFrame:
+    """(x, y, n) of points: each distinct point and how often it stands there, or, if these are more than max_points, the middle
+    of each cell of a grid of max_points cells at most with the number of its points. No point is left out of the counts."""
+    points = df.groupBy("x", "y").agg(F.count("*").alias("n"))
+    if points.limit(max_points + 1).count() <= max_points:
+        return points
+    side = max(1, math.isqrt(max_points))
+    ends = points.filter("x is not null and y is not null").agg(*(f(c).cast("double").alias(f"{c}_{name}") for c in "xy" for name, f in (("low", F.min), ("high", F.max)))).first()
+    if ends["x_low"] is None:
+        return points.limit(0)
+
+    def cell(c: str) -> Column:
+        step = (ends[f"{c}_high"] - ends[f"{c}_low"]) / side or 1.0
+        return (F.least(F.floor((F.col(c).cast("double") - ends[f"{c}_low"]) / step), F.lit(side - 1)) + 0.5) * step + ends[f"{c}_low"]
+
+    return points.filter("x is not null and y is not null").groupBy(cell("x").alias("x"), cell("y").alias("y")).agg(F.sum("n").alias("n"))
 
 
 def chart_data(df: DataFrame, spec: ChartSpec, order: list[Column] | None = None, max_points: int = MAX_POINTS) -> DataFrame:
     """The rows to draw: label and value; for a line also pos from 0, by order (the label by default); for a pie also share of
-    the whole; for a scatter chart x and y, of max_points rows at most. Results drawn have few rows: pos numbers them in one place."""
+    the whole; for a scatter chart x, y and the number of points there (see gridded). A line or a pie that can be drawn has
+    few rows: pos numbers them in one place."""
     if spec.kind == "none":
         return df.limit(0)
     x, y = F.col(f"`{spec.x}`"), F.col(f"`{spec.y}`")
     if spec.kind == "scatter":
-        return df.select(x.alias("x"), y.alias("y")).limit(max_points)
+        return gridded(df.select(x.alias("x"), y.alias("y")), max_points)
     label = x.cast("string").alias("label")
     if spec.kind == "line":
         return df.select(label, y.alias("value"), (F.row_number().over(W.orderBy(*(order or [x]))) - 1).alias("pos"))

@@ -1,8 +1,10 @@
 """Measures by dimensions over the star schema.
 
-A measure is a sum at the grain of one fact table. It is summed by the fact's foreign key first and again by the
-dimension's label after the joins: so the joins carry one row for each key, not one for each fact. Money is summed as
-decimals, so the order of additions does not matter, and is cast to double at the end.
+A measure is a sum at the grain of one fact table. Where the dimension's tables are small enough for Spark to broadcast them,
+facts go through the joins as they are scanned and are summed once, by label: only partial sums are shuffled. Where the
+first table on the way is larger, facts are summed by their foreign key first, so that the shuffled joins carry one row for
+each key, not one for each fact. Money is summed as decimals, so the order of additions does not matter, and is cast to
+double at the end.
 """
 
 from __future__ import annotations
@@ -65,6 +67,12 @@ def _sum(m: Measure) -> Column:
     return F.count("*") if m.value is None else F.sum(m.value).cast("double")
 
 
+def broadcastable(df: DataFrame) -> bool:
+    """Does Spark expect df to be within the size up to which it broadcasts?"""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+
+
 def by_dimension(tables: Tables, of: str, dimension: str, year: int | None = None, newest_name: str | None = None) -> DataFrame:
     """(label, measure) for each label of the dimension, of one year's facts if a year is given."""
     m, d = measure(of), DIMENSIONS[dimension]
@@ -77,7 +85,9 @@ def by_dimension(tables: Tables, of: str, dimension: str, year: int | None = Non
         facts = facts.filter((F.col(DATES[m.fact]) >= first(year)) & (F.col(DATES[m.fact]) < first(year + 1)))
     if not d.path:
         return facts.groupBy(F.date_format(key, "MM").alias(d.name)).agg(_sum(m).alias(name))
-    part = facts.groupBy(key).agg((F.count("*") if m.value is None else F.sum(m.value)).alias("part"))
+    sums = not broadcastable(tables[d.path[0][0]].select(d.path[0][1], *([d.path[1][2]] if len(d.path) > 1 else [d.label])))
+    value = F.lit(1) if m.value is None else m.value
+    part = facts.groupBy(key).agg(F.sum(value).alias("part")) if sums else facts.select(key, value.alias("part"))
     for table, own, via in d.path:
         part = part.join(tables[table], F.col(via) == F.col(own))
     whole = F.sum("part")

@@ -9,7 +9,7 @@ from tallyglass.operators.measures import by_dimension
 from tallyglass.plans.ask import ask, chart
 from tallyglass.plans.execute import execute, problem, rows
 from tallyglass.plans.prompts import chart_prompt, sql_prompt
-from tallyglass.plans.providers import HttpProvider, ask_in_turn, is_plot_code
+from tallyglass.plans.providers import HttpProvider, ask_in_turn, complete_all, is_plot_code
 from tallyglass.plans.router import route, route_of
 from tallyglass.sources.tables import KeyRegistry, ddl, load, sample_rows, schema_dict
 from tallyglass.streaming.questions import demand, routed
@@ -120,6 +120,47 @@ def test_execute(spark):
     assert "zero" in rows(spark, "SELECT 1 / (r_regionkey - r_regionkey) FROM region", 9)[1].lower()
 
 
+def test_time_limit(spark):
+    got, why = rows(spark, "SELECT count(*) FROM range(1000000000000) WHERE sqrt(id) = 1.5", 1, seconds=1)
+    assert got is None and why == "more than 1 seconds"
+    assert rows(spark, "SELECT 1", 1, seconds=60)[0] is not None
+
+
+def test_sqlite_wording(spark):
+    load(spark, SF, ["customer"])
+    run = lambda sql: execute(spark, sql, sqlite_dialect=True)
+    assert [r[0] for r in run("SELECT 'twice' AS x, c_custkey * 2 AS twice FROM customer WHERE twice BETWEEN 1 AND 5 AND x = 'twice'").df.select("twice").collect()] == [2, 4]
+    assert run("SELECT c_name, MIN(c.c_custkey) AS k FROM customer c").df.first() == ("Customer#000000000", 0)
+    assert run("SELECT lower(c.c_name) AS n, c_nationkey, COUNT(*) FROM customer c GROUP BY c_nationkey").df.count() == 25
+    assert run("SELECT 1 / 0 AS a, CAST('x' AS INT) AS b").df.first() == (None, None)
+    assert run("SELECT nothing FROM customer").error and run("SELECT strftime(c_name, 1) FROM customer").error and run("SELECT date((1 FROM customer").error
+    assert "zero" in rows(spark, "SELECT 1 / 0", 1)[1].lower()
+
+
+class Shouting:
+    name, local = "shouting", True
+
+    def available(self):
+        return True
+
+    def complete(self, prompt, max_tokens, temperature):
+        return prompt.upper() + f" {max_tokens}" if prompt != "bad" else 1 / 0
+
+
+def test_complete_all(spark):
+    df = spark.createDataFrame([(1, "hello"), (2, "bad"), (3, None)], "id int, prompt string")
+    assert [tuple(r) for r in complete_all(df, Shouting, 7).orderBy("id").collect()] == [(1, "hello", "HELLO 7", None), (2, "bad", None, "division by zero"), (3, None, None, None)]
+
+
+def test_gridded_points_count_all(spark):
+    df = spark.range(1_000).selectExpr("id AS a", "id % 10 AS b")
+    got = chart_data(df, encode(df.schema, "scatter"), max_points=25).collect()
+    assert len(got) <= 25 and sum(r["n"] for r in got) == 1_000
+    same = chart_data(df, encode(df.schema, "scatter")).collect()
+    assert len(same) == 1_000 and {r["n"] for r in same} == {1}
+    assert chart_data(df.selectExpr("CAST(NULL AS INT) AS a", "b"), encode(df.schema, "scatter"), max_points=1).count() == 0
+
+
 def test_schema(spark):
     tables = load(spark, SF, ["region", "nation"])
     keys = KeyRegistry({"nation": ["n_nationkey"]}, {"nation": [(["n_regionkey"], "region", None)]})

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyglass.operators import reports
-from tallyglass.operators.matching import hardness, matches, multiset_difference, order_sensitive, same_rows
+from tallyglass.operators.matching import hardness, matches, multiset_difference, numbered, order_sensitive, same_rows
 
 A = "(SELECT * FROM VALUES (1, 'a'), (2, 'b'), (2, 'b'), (NULL, 'c') AS t(x, y))"
 
@@ -39,6 +39,13 @@ def test_multisets(spark, a, b):
     assert same_rows(frame(a), frame(b)) is (not want)
 
 
+def test_numbered(spark):
+    df = spark.range(1_000, numPartitions=7).orderBy(F.desc("id")).persist()
+    assert [r["pos"] for r in numbered(df).orderBy(F.desc("id")).collect()] == list(range(1_000))
+    assert numbered(df.filter("false")).count() == 0
+    df.unpersist()
+
+
 def test_hardness(spark):
     cases = {"SELECT a FROM t": "easy", "SELECT a FROM t GROUP BY a": "medium", "SELECT a FROM (SELECT a FROM t)": "hard", "SELECT a FROM t JOIN u GROUP BY a": "hard", "SELECT a FROM t JOIN u GROUP BY a HAVING x": "extra"}
     got = spark.createDataFrame([(q,) for q in cases], "q string").select(hardness(F.col("q"))).collect()
