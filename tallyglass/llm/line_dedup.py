@@ -1,20 +1,22 @@
 """Line deduplication: passages of min_words words or more in a row that an earlier document has are cut.
 
-Words are what stands between space, so line breaks, sentence ends and spacing don't matter to what is common. Each run of
-min_words words belongs to its first document, the one with the smallest id that has it; a word of a later document
-that lies in such a run goes, wherever the run begins and however often it stands there. No run is left out, and none is compared by pairs, so
-the work grows with the words however many documents share a passage:
-1. Of each run of min_words words the gram (of two fifths as many words) with the smallest hash is its print. Runs that
-   are equal have the same print, so all runs of a print that one document has are its own. Neighbouring runs with the
-   same print make a stretch, on average one for each 16 words if min_words is 50; each stretch has a hash of its words.
-2. Equal stretches have equal runs: they go from all documents but the first.
-3. Where stretches of the same print differ (edges of passages, edited copies), the first document of each distinct
-   stretch shows its single runs, and each run goes from all documents but its first.
-This is what alignment of each document with the first owners of its runs gives, word by word, once blocks that moved or
-repeat are followed too: copied() does that for one pair by patience diff, and tests hold the two against each other.
-
-Edges: if a passage begins or ends inside a line or sentence (a piece, PIECE) and has half of it or less, these words stay as long
-as min_words words go without them; so of each run a word goes at least, and whole sentences are left where that is possible.
+Lines: words are what stands between space, and a text's lines are found in its words, not at line breaks or sentence ends,
+so that a passage has the same lines wherever it stands. Of each run of min_words words the gram (of two fifths as many
+words) with the smallest hash is its print; neighbouring runs with the same print make a line, on average one for each 16
+words if min_words is 50. A line has its print and a hash of its words.
+1. Pairs: lines that stand in two documents or more show which ones overlap. Of the documents with a line the first one, the
+   one with the smallest id, owns it, and the others are paired with it alone: so the pairs grow with the lines however many
+   documents share one, and no line need be left out for being common. How often a line stands is counted, too.
+   Where lines of the same print differ (edges of passages, edited copies), the first document with each shows its
+   single runs of words as lines of their own, so an overlap of min_words words has a common line wherever it begins.
+2. Alignment: a later document is aligned with each of its owners, those of its rarest lines first, by patience diff: of
+   the lines that stand once on either side the longest sequence in the same order on both; then what was moved, or stands
+   there again, in further sequences that are in order by themselves. Neighbouring lines become blocks.
+3. The words of aligned blocks are deleted from the later document. Blocks hold whole lines and so have min_words words at least.
+
+Edges: if a passage begins or ends inside a line of text or a sentence (a piece, PIECE) and has half of it or less, these words
+stay as long as min_words words go without them; so of each run a word goes at least, and whole sentences are left where
+that is possible.
 
 Results for odd input: null texts stay null and empty ones empty; rows that repeat an id with the same text stay as they
 are (a document is no copy of itself), and if their texts differ each is compared with earlier documents by itself; rows
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -121,51 +124,8 @@ class Runs:
         return run[first], run[last] + min_words, low[run[first]]
 
 
-def run_ends(words: list[int], min_words: int) -> list[int]:
-    """For each piece the end (excluded) of the shortest run from it with min_words words; 0 where there is none."""
-    total = [0]
-    for w in words:
-        total.append(total[-1] + w)
-    return [e if (e := bisect.bisect_left(total, total[i] + min_words)) <= len(words) else 0 for i in range(len(words))]
-
-
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Places (i, j) of aligned equal pieces of a and b, in order."""
-    out: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
-            out.append((a0, b0))
-            a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
-            a1, b1 = a1 - 1, b1 - 1
-            out.append((a1, b1))
-        if a0 == a1 or b0 == b1:
-            continue
-        once_a, once_b = _once(a, a0, a1), _once(b, b0, b1)
-        anchors = _rising([(i, once_b[x]) for x, i in once_a.items() if x in once_b])
-        if not anchors:
-            continue
-        at, bt = a0, b0
-        for i, j in anchors:  # each gap ends before the anchor; growing from its two ends covers the anchor's neighbours
-            todo.append((at, i, bt, j))
-            out.append((i, j))
-            at, bt = i + 1, j + 1
-        todo.append((at, a1, bt, b1))
-    return sorted(out)
-
-
-def _once(x: list[int], start: int, end: int) -> dict[int, int]:
-    """value -> place, of the values found once in x[start:end], in order of places."""
-    seen: dict[int, int] = {}
-    for i in range(start, end):
-        seen[x[i]] = -1 if x[i] in seen else i
-    return {v: i for v, i in seen.items() if i >= 0}
-
-
-def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest part of pairs (rising in i) that rises in j too."""
+def _rising(pairs: list[tuple[int, int]]) -> list[int]:
+    """Places in pairs (rising in i) of the longest sequence that rises in j too, by patience sorting."""
     tops: list[int] = []
     heads: list[int] = []
     back = [-1] * len(pairs)
@@ -175,31 +135,66 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         tops[k : k + 1], heads[k : k + 1] = [j], [n]
     out, n = [], heads[-1] if heads else -1
     while n >= 0:
-        out.append(pairs[n])
+        out.append(n)
         n = back[n]
     return out[::-1]
 
 
-def copied(later: list[int], words: list[int], owner: list[int], owner_words: list[int], min_words: int) -> list[int]:
-    """Places of later's pieces in aligned common blocks with owner."""
-    key = lambda x, i, e: tuple(x[i:e])
-    theirs = {key(owner, i, e) for i, e in enumerate(run_ends(owner_words, min_words)) if e}
-    left, gone = list(range(len(later))), []
-    while True:
-        mine = [later[i] for i in left]
-        pairs, drop, k = patience(mine, owner), set(), 0
-        while k < len(pairs):
-            e = k + 1
-            while e < len(pairs) and pairs[e][1] == pairs[k][1] + e - k and pairs[e][0] == pairs[k][0] + e - k and left[pairs[e][0]] == left[pairs[e - 1][0]] + 1:
-                e += 1
-            if sum(words[left[i]] for i, _ in pairs[k:e]) >= min_words:
-                drop.update(i for i, _ in pairs[k:e])
-            k = e
-        if not drop:  # no block in order any more: what the pair still shares overlaps one that is gone, or repeats
-            rest = {p for i, e in enumerate(run_ends(words, min_words)) if e and key(later, i, e) in theirs for p in range(i, e)}
-            return sorted(rest.union(gone))
-        gone += [left[i] for i in drop]
-        left = [p for i, p in enumerate(left) if i not in drop]
+def patience(lines: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Common lines (i, j), by their places on both sides, in sequences that rise on both: first the longest one of the lines that
+    stand once on either side, then the others, each at the end of the sequence that comes closest before it."""
+    lines = sorted(set(lines))
+    often_i, often_j = Counter(i for i, _ in lines), Counter(j for _, j in lines)
+    once = [x for x in lines if often_i[x[0]] == 1 == often_j[x[1]]]
+    first = [once[n] for n in _rising(once)]
+    taken = set(first)
+    ends: list[tuple[int, int]] = []  # (j of the last line, number of the sequence), sorted; all last places i lie before the next line's
+    rest: list[list[tuple[int, int]]] = []
+    for i, j in lines:
+        if (i, j) in taken:
+            continue
+        k = bisect.bisect_left(ends, (j, -1)) - 1
+        if k >= 0 and rest[ends[k][1]][-1][0] < i:
+            n = ends.pop(k)[1]
+        else:
+            n = len(rest)
+            rest.append([])
+        rest[n].append((i, j))
+        bisect.insort(ends, (j, n))
+    return [first, *rest] if first else rest
+
+
+def aligned(lines: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Blocks (start, end) of words of the later document, aligned with its owner. lines: (start, end, start in the owner)."""
+    ends = {(i, j): e for i, e, j in sorted(lines)}
+    blocks = []
+    for sequence in patience(list(ends)):
+        start = end = shift = None
+        for i, j in sequence:
+            if start is not None and i <= end and i - j == shift:
+                end = max(end, ends[i, j])
+                continue
+            if start is not None:
+                blocks.append((start, end))
+            start, end, shift = i, ends[i, j], i - j
+        blocks.append((start, end))
+    return blocks
+
+
+def common_blocks(found: list[dict]) -> list[tuple[int, int]]:
+    """Blocks of a document that are aligned with one of its owners; owners of rare lines come first, and what they have is not
+    aligned again. found: the lines, each with place, owner, owner_place and often."""
+    by_owner: dict[int, list[dict]] = {}
+    for x in found:
+        by_owner.setdefault(x["owner"], []).append(x)
+    blocks: list[tuple[int, int]] = []
+    for owner in sorted(by_owner, key=lambda o: (min(x["often"] for x in by_owner[o]), o)):
+        covered = sorted(blocks)
+        lines = [(p >> 32, p & 0xFFFFFFFF, x["owner_place"] >> 32) for x in by_owner[owner] for p in (x["place"],)]
+        inside = lambda i, e: (k := bisect.bisect_right(covered, (i, 1 << 40)) - 1) >= 0 and e <= covered[k][1]  # noqa: B023, E731
+        if left := [x for x in lines if not inside(x[0], x[1])]:
+            blocks += aligned(left)
+    return blocks
 
 
 def without(text: str, gone: set[int]) -> str:
@@ -219,12 +214,12 @@ def without(text: str, gone: set[int]) -> str:
     return "".join(out)
 
 
-def going(text: str, spans: list[int], min_words: int) -> set[int]:
-    """Places of the words of text that go, for spans of words (start << 32 | end) that earlier documents have."""
+def going(text: str, blocks: list[tuple[int, int]], min_words: int) -> set[int]:
+    """Places of the words of text that go, for blocks of words (start, end) that earlier documents have."""
     ends = np.cumsum([0, *(len(w) for p in pieces(text) if (w := p.split()))])
     gone = np.zeros(ends[-1], bool)
-    for s in spans:
-        gone[s >> 32 : s & 0xFFFFFFFF] = True
+    for start, end in blocks:
+        gone[start:end] = True
     edges = np.flatnonzero(np.diff(gone, prepend=False, append=False))
     for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
         k = int(np.searchsorted(ends, a, "right"))  # a lies in the piece that ends at ends[k], b - 1 in the one from ends[m]
@@ -238,9 +233,9 @@ def going(text: str, spans: list[int], min_words: int) -> set[int]:
     return set(np.flatnonzero(gone).tolist())
 
 
-def copied_spans(docs: DataFrame, min_words: int, max_broadcast_bytes: int) -> DataFrame:
-    """(doc, hash, spans): for each text, named by its hash, the spans of words (start << 32 | end) that earlier documents have; rows only where
-    there are any. docs: doc, text."""
+def common_lines(docs: DataFrame, min_words: int, max_broadcast_bytes: int) -> DataFrame:
+    """(doc, hash, lines): for each text, named by its hash, the lines that earlier documents have: place (start << 32 | end, in
+    words), owner, owner_place and often (how often the line stands in all texts); rows only where there are any. docs: doc, text."""
     gram = max(1, 2 * min_words // 5)
 
     def stretches(batches):
@@ -272,33 +267,34 @@ def copied_spans(docs: DataFrame, min_words: int, max_broadcast_bytes: int) -> D
     each = lambda df, *lists: df.select("doc", "hash", F.inline(F.arrays_zip(*lists)))
     texts = docs.filter("doc is not null").select("doc", "text", F.xxhash64("text").alias("hash"))
     told = each(keep(arrow_map(texts, stretches, "doc long, hash long, print array<long>, stretch array<long>, place array<long>")), "print", "stretch", "place")
-    # a print with one stretch: all documents have the same around it, and the first one owns it
-    common = told.groupBy("print").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), (F.min("stretch") < F.max("stretch")).alias("open")).filter("owner < last")
+    first = F.min(F.struct("doc", "place")).alias("first")
+    # a print with one line: all documents have the same around it, and the first one owns it
+    common = told.groupBy("print").agg(first, F.max("doc").alias("last"), F.count("*").alias("often"), (F.min("stretch") < F.max("stretch")).alias("open")).filter("first.doc < last")
     shared = keep(told.join(common.drop("last"), "print").drop("print"))
-    owners = shared.filter("open").groupBy("stretch").agg(F.min("doc").alias("owner"))
-    unlike = keep(shared.filter("open").drop("owner").join(owners, "stretch").select("doc", "hash", "place", "owner"))
-    # stretches that differ around the same print: the first document of each shows its runs
-    shown = keep(unlike.filter("owner = doc").groupBy("doc", "hash").agg(F.collect_set("place").alias("places")))
+    owners = shared.filter("open").groupBy("stretch").agg(first)
+    unlike = keep(shared.filter("open").drop("first").join(owners, "stretch").select("doc", "hash", "place", "first", "often"))
+    # lines that differ around the same print: the first document of each shows its runs
+    shown = keep(unlike.filter("first.doc = doc").groupBy("doc", "hash").agg(F.collect_set("place").alias("places")))
     runs = keep(arrow_map(texts.join(small(shown, max_broadcast_bytes), ["doc", "hash"]).select("doc", "hash", "text", "places"), opened, "doc long, hash long, key array<long>, place array<long>"))
     runs = each(runs, "key", "place")
-    firsts = runs.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("key", "owner")
-    spans = [x.filter("owner < doc").select("doc", "hash", "place") for x in (shared.filter("not open"), unlike, runs.join(firsts, "key"))]
-    return spans[0].union(spans[1]).union(spans[2]).groupBy("doc", "hash").agg(F.collect_set("place").alias("spans"))
+    firsts = runs.groupBy("key").agg(first, F.max("doc").alias("last"), F.count("*").alias("often")).filter("first.doc < last").drop("last")
+    later = [x.filter("first.doc < doc").select("doc", "hash", F.struct("place", F.col("first.doc").alias("owner"), F.col("first.place").alias("owner_place"), "often").alias("line")) for x in (shared.filter("not open"), unlike, runs.join(firsts, "key"))]
+    return later[0].union(later[1]).union(later[2]).groupBy("doc", "hash").agg(F.collect_set("line").alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_broadcast_bytes: int = 32 << 20) -> DataFrame:
     """docs with the text of each row less its copied passages, and n_words_removed, n_words_left."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     names = [c for c in docs.columns if c not in ("n_words_removed", "n_words_left")]
-    of, named, places = (free(c, docs.columns) for c in ("copy_doc", "copy_hash", "copy_places"))
-    gone = keep(copied_spans(rows, min_words, max_broadcast_bytes).select(F.col("doc").alias(of), F.col("hash").alias(named), F.col("spans").alias(places)))
+    of, named, places = (free(c, docs.columns) for c in ("copy_doc", "copy_hash", "copy_lines"))
+    gone = keep(common_lines(rows, min_words, max_broadcast_bytes).select(F.col("doc").alias(of), F.col("hash").alias(named), F.col("lines").alias(places)))
 
     def edit(batches):
         for b in batches:
             text, lost, left = [], [], []
             for t, g in zip(b.column(text_col).to_pylist(), b.column(places).to_pylist(), strict=True):
                 n = len(t.split()) if t else 0
-                text.append(without(t, going(t, g, min_words)) if g and t else t)
+                text.append(without(t, going(t, common_blocks(g), min_words)) if g and t else t)
                 left.append(len(text[-1].split()) if g and t else n)
                 lost.append(n - left[-1])
             kept = [pa.array(text, pa.string()) if c == text_col else b.column(c) for c in names]

@@ -82,27 +82,30 @@ def test_rows_that_repeat_an_id(spark):
     assert {(r["doc_id"], r["component_id"]) for r in near_duplicates(df, shingle=2).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(0, 6), max_size=16), st.lists(st.integers(0, 6), max_size=16), st.integers(1, 12))
-def test_all_shared_runs_go(later, owner, min_words):
-    words = lambda x: [1 + v % 4 for v in x]
-    gone = set(ld.copied(later, words(later), owner, words(owner), min_words))
-    theirs = {tuple(owner[i:e]) for i, e in enumerate(ld.run_ends(words(owner), min_words)) if e}
-    for i, e in enumerate(ld.run_ends(words(later), min_words)):
-        if e and tuple(later[i:e]) in theirs:
-            assert gone.issuperset(range(i, e))
-    assert all(later[i] in owner for i in gone)
-
-
 @given(st.text(alphabet="ab .!?\n\t", max_size=60))
 def test_pieces_join_to_the_text(text):
     assert "".join(ld.pieces(text)) == text
     assert ld.without(text, set()) == text
 
 
-def test_patience_keeps_order():
-    pairs = ld.patience([1, 2, 3, 4, 9, 5], [7, 1, 2, 4, 3, 5])
-    assert pairs == sorted(pairs) and [i for i, _ in pairs] == sorted({i for i, _ in pairs}) and (0, 1) in pairs and (5, 5) in pairs
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=20))
+def test_patience(lines):
+    sequences = ld.patience(lines)
+    assert sorted(x for s in sequences for x in s) == sorted(set(lines))
+    assert all(a[0] < b[0] and a[1] < b[1] for s in sequences for a, b in zip(s, s[1:], strict=False))
+    once = [x for x in sorted(set(lines)) if sum(y[0] == x[0] for y in set(lines)) == 1 == sum(y[1] == x[1] for y in set(lines))]
+    longest = {}
+    for x in once:
+        longest[x] = 1 + max((n for y, n in longest.items() if y[0] < x[0] and y[1] < x[1]), default=0)
+    assert not once or len(sequences[0]) == max(longest.values()) and set(sequences[0]) <= set(once)
+
+
+def test_blocks_are_aligned():
+    assert ld.aligned([(0, 50, 100), (1, 51, 101), (20, 70, 120), (300, 350, 0), (400, 450, 0)]) == [(0, 70), (300, 350), (400, 450)]
+    line = lambda place, owner, at, often: {"place": place << 32 | place + 50, "owner": owner, "owner_place": at << 32 | at + 50, "often": often}
+    assert sorted(ld.common_blocks([line(0, 7, 5, 9), line(10, 8, 0, 2), line(0, 8, 90, 3), line(200, 7, 205, 9)])) == [(0, 50), (10, 60), (200, 250)]
+    assert len(ld.patience([(k, k % 7) for k in range(100_000)])) == -(-100_000 // 7)
 
 
 def test_line_dedup(spark, docs, empty):
@@ -153,11 +156,11 @@ def test_passages_inside_sentences_go(spark):
     for min_words in (50, 7):
         want = brute_spans(made, min_words)
         df = spark.createDataFrame([(d, t) for d, t in made], "doc_id long, text string").repartition(3)
-        spans = {r["doc"]: {i for s in r["spans"] for i in range(s >> 32, s & 0xFFFFFFFF)} for r in ld.copied_spans(df.selectExpr("doc_id AS doc", "text"), min_words, 200).collect()}
+        spans = {r["doc"]: {i for a, b in ld.common_blocks(r["lines"]) for i in range(a, b)} for r in ld.common_lines(df.selectExpr("doc_id AS doc", "text"), min_words, 200).collect()}
         assert spans == {d: w for (d, _), w in zip(made, want, strict=True) if w}
         got = {r["doc_id"]: r for r in ld.dedup_lines(df, min_words=min_words, max_broadcast_bytes=2000).collect()}
         for (d, t), w in zip(made, want, strict=True):
-            gone = ld.going(t, [i << 32 | i + 1 for i in w], min_words)
+            gone = ld.going(t, [(i, i + 1) for i in w], min_words)
             assert got[d]["text"].split() == [x for i, x in enumerate(t.split()) if i not in gone] and got[d]["n_words_removed"] == len(gone)
             assert gone <= w and all(gone & set(range(i, i + min_words)) for i in range(len(t.split())) if w >= set(range(i, i + min_words)))
 
@@ -169,10 +172,3 @@ def test_planted_mid_sentence(spark):
     made = [(1, f"{own(1, 5)} {bare} {own(2, 5)}"), (2, f"{own(3, 4)} {bare} {own(4, 9)}"), (3, f"{own(5, 2)} {cut} {own(6, 2)}."), (4, f"{own(7, 3)} {cut} {own(8, 1)}. Own end.")]
     got = {r["doc_id"]: (r["text"], r["n_words_removed"]) for r in ld.dedup_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()}
     assert got == {1: (made[0][1], 0), 2: (f"{own(3, 4)} {own(4, 9)}", 60), 3: (made[2][1], 0), 4: (f"{own(7, 3)} {own(8, 1)}. Own end.", 58)}
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 3), max_size=30), st.lists(st.integers(0, 3), max_size=30), st.integers(2, 8))
-def test_alignment_of_a_pair_gives_the_same(later, owner, min_words):
-    spans = brute_spans([(1, " ".join(map(str, owner))), (2, " ".join(map(str, later)))], min_words)[1]
-    assert set(ld.copied(later, [1] * len(later), owner, [1] * len(owner), min_words)) == spans

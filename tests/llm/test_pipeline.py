@@ -21,7 +21,7 @@ def test_pipeline(spark, tmp_path):
     clean = {10_000 + k: "\n".join(line(12) for _ in range(4)) for k in range(20)}
     passage = " ".join(words(rng, 60)) + "."
     base = words(rng, 200)
-    near = " ".join([*base[:100], "changed", *base[101:]])
+    near = " ".join("changed" if k in (40, 80, 120, 160) else w for k, w in enumerate(base))  # too near for the one, too scattered for runs of 50 words
     items = [(k, " ".join(words(rng, 30))) for k in range(5)]
     planted = {
         20_000: "\n".join([line(20), passage, line(20)]), 20_001: "\n".join([line(20), passage, line(20)]),  # a passage that repeats
