@@ -80,7 +80,7 @@ class WordEncoder:
         self.ends = np.zeros(size, bool)
         for name, i in self.lib.get_vocab(with_added_tokens=False).items():
             self.ends[i] = name.endswith("</w>")
-        self.memo = Memo(8_000_000, 600_000)
+        self.memo = Memo(12_000_000, 900_000)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -105,11 +105,17 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [None if ODD_SPACE.search(t) else WORD.findall(t) for t in texts]
-        met = {w for ws in words if ws for w in ws}
-        new = [w for w in met if w not in self.memo]
-        self.memo.room(new)
-        self.learn(new if self.memo else list(met))
-        return [self._bytes(self._ids([t])[0]) if ws is None else b"".join(map(self.memo.__getitem__, ws)) for t, ws in zip(texts, words, strict=True)]
+        get = self.memo.get
+        found = [self._bytes(self._ids([t])[0]) if ws is None else list(map(get, ws)) for t, ws in zip(texts, words, strict=True)]
+        unknown = [k for k, f in enumerate(found) if words[k] is not None and None in f]
+        if new := list({w for k in unknown for w, x in zip(words[k], found[k], strict=True) if x is None}):
+            self.memo.room(new)
+            if not self.memo:  # it has just started anew
+                new = list({w for k in unknown for w in words[k]})
+            self.learn(new)
+            for k in unknown:
+                found[k] = list(map(get, words[k]))
+        return [f if words[k] is None else b"".join(f) for k, f in enumerate(found)]
 
 
 _encoders: dict[str, WordEncoder] = {}
