@@ -13,6 +13,7 @@ from functools import reduce
 from operator import add
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
@@ -59,6 +60,14 @@ def keeps(module: str, clear: Callable[[], None]) -> None:
     _kept[module] = clear
 
 
+def _trim() -> None:
+    """Gives memory that is free back to the system, as far as the C library knows how to."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def _free_others(module: str) -> None:
     """Frees what other modules keep in this worker. A function of the module, not a closure: so it meets the worker's own _kept."""
     others = [clear for name, clear in _kept.items() if name != module]
@@ -66,25 +75,33 @@ def _free_others(module: str) -> None:
         clear()
     if others:
         gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # a C library without it
+        _trim()
 
 
 def _alone(run: Callable) -> Callable:
-    """run, after other modules' memory of earlier tasks is freed: a worker that serves several operators in turn holds one's at a time."""
+    """run, after other modules' memory of earlier tasks is freed: a worker that serves several operators in turn holds one's at a
+    time. Arrow takes its memory from the C library, which gives it back."""
 
     def first_free(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         _free_others(run.__module__)
         yield from run(batches)
+        _trim()
 
     return first_free
 
 
+#: Rows and bytes of texts that go to a Python worker at once, at most, where the session does not say: Spark's defaults are meant
+#: for rows of a few numbers, and whole texts would fill a worker and its executor many times.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """df.mapInArrow, after making this package known to the executors' Python, wherever they run."""
     sc = df.sparkSession.sparkContext
+    for key, value in BATCHES.items():
+        if df.sparkSession.conf.get(key, None) is None:
+            df.sparkSession.conf.set(key, value)
     if sc.applicationId not in _shipped:
         package = Path(__file__).parents[1]
         sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name))
