@@ -144,8 +144,8 @@ def free(name: str, taken: list[str]) -> str:
 
 
 def ascii_lower(c: Column) -> Column:
-    """A-Z lower-cased, every other character left alone."""
-    return F.translate(c, UPPER, LOWER)
+    """A-Z lower-cased, every other character left alone. lower() is quicker and does the same where there are no others."""
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def let(value: Column, body) -> Column:

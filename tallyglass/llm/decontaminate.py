@@ -19,27 +19,53 @@ item with the windows of all of them; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import alnum_words, keep, let, small, windows
 
-#: A word of letters, digits and non-ASCII characters.
-WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: What stands between words.
+BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: Low bits of a gram's hash that give way to its place, so that the least of a window is the leftmost of equals and says where it is.
+PLACE_BITS = 24
+PLACE = (1 << PLACE_BITS) - 1
+
+
+def paired(x: Column, by: int, f) -> Column:
+    """[f(x[0], x[by]), f(x[1], x[by + 1]), ...]"""
+
+    def both(a: Column) -> Column:
+        n = F.greatest(F.size(a) - by, F.lit(0))
+        return F.zip_with(F.slice(a, 1, n), F.slice(a, by + 1, n), f)
+
+    return let(x, both)
+
+
+def over(x: Column, n: int, f) -> Column:
+    """f over each n neighbours, in about log2(n) passes: f of f over the first and f over the last of them, which may overlap."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        x, size = paired(x, step, f), size + step
+    return x
 
 
 def grams(hashes: Column, n: int) -> Column:
     """Hashes of all runs of n words."""
-    return windows(F.size(hashes) - n + 1, lambda i: F.xxhash64(F.slice(hashes, i + 1, n)))
+    return over(hashes, n, lambda a, b: F.xxhash64(a, b))
 
 
-def winnow(gram_hashes: Column, window: int) -> Column:
+def winnow(gram_hashes: Column, window: int, longest: int = PLACE) -> Column:
     """[(place, print)] of the smallest hash of each window (the leftmost of equals), each place once."""
-
-    def places(g: Column) -> Column:
-        return F.array_distinct(windows(F.size(g) - window + 1, lambda i: let(F.slice(g, i + 1, window), lambda s: i + F.array_position(s, F.array_min(s)).cast("int") - 1)))
-
-    return let(gram_hashes, lambda g: F.transform(places(g), lambda p: F.struct(p.alias("place"), F.element_at(g, p + 1).alias("print"))))
+    # texts of more grams than `longest` (PLACE can't tell more apart) go the long way: the same fingerprints, looked for window by window
+    short = lambda g: F.array_distinct(over(F.transform(g, lambda h, i: h.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long"))), window, lambda a, b: F.least(a, b)))
+    cut = lambda g: F.transform(g, lambda h: h.bitwiseAND(F.lit(~PLACE)))
+    least = lambda g: F.array_distinct(windows(F.size(g) - window + 1, lambda i: let(F.slice(g, i + 1, window), lambda s: i + F.array_position(s, F.array_min(s)).cast("int") - 1)))
+    found = lambda q: F.struct(q.bitwiseAND(F.lit(PLACE)).cast("int").alias("place"), q.bitwiseAND(F.lit(~PLACE)).alias("print"))
+    long = lambda g: let(cut(g), lambda c: F.transform(least(c), lambda p: F.struct(p.alias("place"), F.element_at(c, p + 1).alias("print"))))
+    return let(gram_hashes, lambda g: F.when(F.size(g) <= longest, F.transform(short(g), found)).otherwise(long(g)))
 
 
 def runs(hashes: Column, n: int) -> Column:
@@ -57,9 +83,9 @@ def hits(rows: DataFrame, benchmark: DataFrame, span: int, gram: int, window: in
     items = keep(benchmark.select("item", alnum_words(F.col("text")).alias("words")).filter(F.size("words") > 0).distinct().withColumn("item_key", F.xxhash64("item", "words")))
     h = hashed(F.col("words"))
     long_prints = items.filter(F.size("words") >= span).select("item_key", F.explode(let(h, lambda x: winnow(grams(x, gram), window))).alias("f")).select("item_key", "f.place", "f.print")
-    short_prints = items.filter(F.size("words") < span).select("item_key", F.lit(0).alias("place"), F.xxhash64(h).alias("print"))
-    prints = keep(long_prints.unionByName(short_prints).withColumnRenamed("place", "item_place"))
     lengths = sorted(r[0] for r in items.filter(F.size("words") < span).select(F.size("words")).distinct().collect())  # span - 1 at most
+    short_prints = [items.filter(F.size("words") == n).select("item_key", F.explode(runs(h, n)).alias("f")).select("item_key", "f.place", "f.print") for n in lengths]
+    prints = keep(reduce(DataFrame.unionByName, short_prints, long_prints).withColumnRenamed("place", "item_place"))
     own = let(hashed(alnum_words(F.col("text"))), lambda x: F.concat(winnow(grams(x, gram), window), *(runs(x, n) for n in lengths)))
     found = rows.select("doc", "named", F.explode(own).alias("f")).select("doc", "named", "f.place", "f.print").join(small(prints, max_broadcast_bytes), "print")
     pairs = keep(found.groupBy("doc", "named", "item_key").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("diagonals")))
@@ -106,7 +132,7 @@ def decontaminate(
     hit = texts.select("doc", "named", F.filter(spans, lambda x: F.size(x["spans"]) > 0).alias("x")).filter(F.size("x") > 0)
     hit = hit.select("doc", "named", covered(F.array_sort(F.array_distinct(F.flatten(F.col("x.spans"))))).alias("n_hit"), F.array_sort(F.array_distinct(F.array_compact(F.col("x.item")))).alias("items"))
     hit = small(keep(hit), max_broadcast_bytes)
-    n_words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), BETWEEN), "")).cast("long")
     out = rows.select("doc", "named", n_words.alias("n_words"))
     out = out.join(hit, same_row(out, hit), "left").select(out["doc"], out["named"], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.select(F.col("doc").alias(id_col), F.col("named").alias("text_hash"), "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from tallyglass.llm.decontaminate import decontaminate
+from tallyglass.llm.decontaminate import decontaminate, grams, winnow
 from tallyglass.llm.licenses import normalise, normalised, scan_licenses
 from tallyglass.llm.quality import classify
 from tallyglass.llm.quality_rules import GRID, lower_tail, quality_rules
@@ -51,6 +51,19 @@ def test_decontaminate(spark, docs, rows, empty):
     assert decontaminate(docs, bench.filter("false")).filter("contaminated").count() == 0
 
 
+def test_winnow(spark):
+    rng = random.Random(8)
+    made = [[rng.randrange(-4, 4) << 40 for _ in range(n)] for n in (0, 1, 6, 7, 8, 30, 200)] + [[5 << 40] * 40]
+    df = spark.createDataFrame([(x,) for x in made], "g array<long>")
+    for longest in (1 << 24, 0):
+        got = [[(f["place"], f["print"]) for f in r[0]] for r in df.select(winnow(F.col("g"), 7, longest)).collect()]
+        for g, found in zip(made, got, strict=True):
+            want = dict.fromkeys(min(range(i, i + 7), key=lambda k: (g[k], k)) for i in range(len(g) - 6))
+            assert found == [(k, g[k]) for k in want]
+    hashes = spark.createDataFrame([(list(range(20)) + list(range(20)),)], "h array<long>").select(grams(F.col("h"), 7)).first()[0]
+    assert len(hashes) == 34 and hashes[:14] == hashes[20:] and len(set(hashes)) == 20
+
+
 def test_items_without_an_id(spark):
     words = " ".join(f"w{k}" for k in range(13))
     df = spark.createDataFrame([(1, f"so {words} it goes")], "doc_id long, text string")
