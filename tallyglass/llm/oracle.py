@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import LOWER, UPPER
-from .licenses import COPYLEFT, RESTRICTED, RULES, SENTENCES, normalise
+from .licenses import COPYLEFT, RESTRICTED, RULES, SENTENCES, SPDX, normalise
 from .quality_rules import GRID
 
 _FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -79,7 +79,7 @@ def licenses() -> str:
     rules = ", ".join(f"CASE WHEN {' OR '.join(f'regexp_matches({c}, {_text(''.join(f',{i},.*' if k == len(r) - 1 else f',{i}(?:,.*)?' for k, i in enumerate(r)))})' for c in ('a', 'b'))} THEN {_text(name)} END" for name, r in RULES)
     held = lambda x: f"list_has_any(l, {_list(x)})"
     return rf"""
-WITH t AS (SELECT doc_id, {_FOLDED} AS t, {names} AS k FROM documents),
+WITH t AS (SELECT doc_id, replace({_FOLDED}, '{SPDX}', '{SPDX[:-1]} ') AS t, {names} AS k FROM documents),
 x AS (SELECT doc_id, {ids(ends + '[\n\r]+')} AS by_line, CASE WHEN contains(t, chr(10)) THEN {ids(ends + r'\n[\x20\x09-\x0D]*\n')} ELSE [] END AS by_text FROM t),
 s AS (SELECT *, ',' || array_to_string(by_line, ',') || ',' AS a, ',' || array_to_string(by_text, ',') || ',' AS b, CASE WHEN len(by_text) > len(by_line) THEN by_text ELSE by_line END AS best FROM x),
 r AS (SELECT doc_id, best, list_sort(list_distinct(list_filter([{rules}], lambda x: x IS NOT NULL))) AS l FROM s)

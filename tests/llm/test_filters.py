@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from tallyglass.llm.decontaminate import decontaminate, grams, winnow
-from tallyglass.llm.licenses import normalise, normalised, scan_licenses
+from tallyglass.llm.licenses import RULES, SENTENCES, normalise, normalised, scan_licenses
 from tallyglass.llm.quality import classify
 from tallyglass.llm.quality_rules import GRID, lower_tail, quality_rules
 
@@ -123,11 +123,16 @@ def test_licenses(spark, docs, empty):
     cases = [
         (1, f"Code.\n\n{mit}\n\n{rest}\n\n{as_is}\n", "MIT"), (2, f"{fold(mit)}\n\n{fold(rest)}\n\n{fold(as_is)}", "MIT"), (3, f"{as_is}\n{rest}\n{mit}", ""), (4, "Licensed under CC BY-NC 4.0.\nsome words", "CC-BY-NC-4.0"),
         (5, "licensed under the apache license, version 2.0. Released under the MIT License.", "Apache-2.0,MIT"), (6, "This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"), (7, "It was licensed once.", ""), (8, None, ""), (9, "", ""),
+        (10, "/* SPDX-License-Identifier: LGPL-2.1-or-later */\nint x;", "LGPL-2.1"), (11, "Licensed under CC BY-NC-SA 4.0. Released under the Mozilla Public License, version 2.0.", "CC-BY-NC-SA-4.0,MPL-2.0"),
+        (12, "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1"),
+        (13, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "AGPL-3.0"),
+        (14, "version 2 of the License. This program is free software; said once.", ""), (15, "All rights reserved. " * 20_000, "all-rights-reserved"),
     ]
     got = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")).collect()}
     assert {d: r["licenses"] for d, r in got.items()} == {c[0]: c[2] for c in cases}
     assert [got[k]["license_class"] for k in (1, 4, 6, 7, 8)] == ["permissive", "restricted", "copyleft", "none", "none"]
     assert got[5]["sentence_ids"] == "apache-notice,mit-notice"
+    assert len(RULES) > 50 and {i for _, r in RULES for i in r} <= SENTENCES.keys() and len({normalise(s) for x in SENTENCES.values() for s in x}) == sum(len({normalise(s) for s in x}) for x in SENTENCES.values())
     assert scan_licenses(docs).count() == docs.count() and scan_licenses(empty).count() == 0
     assert wrapped(mit)
     text = "(The) Version 2.0, A.B 3. x!"
