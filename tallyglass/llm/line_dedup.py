@@ -183,14 +183,14 @@ def aligned(lines: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
 
 def common_blocks(found: list[dict]) -> list[tuple[int, int]]:
     """Blocks of a document that are aligned with one of its owners; owners of rare lines come first, and what they have is not
-    aligned again. found: the lines, each with place, owner, owner_place and often."""
+    aligned again. found: the lines, each with place, owner, owner_start and often."""
     by_owner: dict[int, list[dict]] = {}
     for x in found:
         by_owner.setdefault(x["owner"], []).append(x)
     blocks: list[tuple[int, int]] = []
     for owner in sorted(by_owner, key=lambda o: (min(x["often"] for x in by_owner[o]), o)):
         covered = sorted(blocks)
-        lines = [(p >> 32, p & 0xFFFFFFFF, x["owner_place"] >> 32) for x in by_owner[owner] for p in (x["place"],)]
+        lines = [(x["place"] >> 32, x["place"] & 0xFFFFFFFF, x["owner_start"]) for x in by_owner[owner]]
         inside = lambda i, e: (k := bisect.bisect_right(covered, (i, 1 << 40)) - 1) >= 0 and e <= covered[k][1]  # noqa: B023, E731
         if left := [x for x in lines if not inside(x[0], x[1])]:
             blocks += aligned(left)
@@ -235,7 +235,7 @@ def going(text: str, blocks: list[tuple[int, int]], min_words: int) -> set[int]:
 
 def common_lines(docs: DataFrame, min_words: int, max_broadcast_bytes: int) -> DataFrame:
     """(doc, hash, lines): for each text, named by its hash, the lines that earlier documents have: place (start << 32 | end, in
-    words), owner, owner_place and often (how often the line stands in all texts); rows only where there are any. docs: doc, text."""
+    words), owner, owner_start and often (how often the line stands in all texts); rows only where there are any. docs: doc, text."""
     gram = max(1, 2 * min_words // 5)
 
     def stretches(batches):
@@ -267,34 +267,48 @@ def common_lines(docs: DataFrame, min_words: int, max_broadcast_bytes: int) -> D
     each = lambda df, *lists: df.select("doc", "hash", F.inline(F.arrays_zip(*lists)))
     texts = docs.filter("doc is not null").select("doc", "text", F.xxhash64("text").alias("hash"))
     told = each(keep(arrow_map(texts, stretches, "doc long, hash long, print array<long>, stretch array<long>, place array<long>")), "print", "stretch", "place")
-    first = F.min(F.struct("doc", "place")).alias("first")
+    # the first document and a place in it as one number, of which hash aggregation can keep the least
+    first = F.min(F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.shiftrightunsigned("place", 32)).alias("first")
+    start = F.pmod("first", F.lit(1 << 32).cast("decimal(11,0)")).cast("long")
+    named = lambda df: df.withColumn("owner_start", start).withColumn("owner", ((F.col("first") - F.col("owner_start")) / (1 << 32)).cast("long")).drop("first")
     # a print with one line: all documents have the same around it, and the first one owns it
-    common = told.groupBy("print").agg(first, F.max("doc").alias("last"), F.count("*").alias("often"), (F.min("stretch") < F.max("stretch")).alias("open")).filter("first.doc < last")
+    common = named(told.groupBy("print").agg(first, F.max("doc").alias("last"), F.count("*").alias("often"), (F.min("stretch") < F.max("stretch")).alias("open"))).filter("owner < last")
     shared = keep(told.join(common.drop("last"), "print").drop("print"))
-    owners = shared.filter("open").groupBy("stretch").agg(first)
-    unlike = keep(shared.filter("open").drop("first").join(owners, "stretch").select("doc", "hash", "place", "first", "often"))
+    owners = named(shared.filter("open").groupBy("stretch").agg(first))
+    unlike = keep(shared.filter("open").drop("owner", "owner_start").join(owners, "stretch").drop("stretch"))
     # lines that differ around the same print: the first document of each shows its runs
-    shown = keep(unlike.filter("first.doc = doc").groupBy("doc", "hash").agg(F.collect_set("place").alias("places")))
+    shown = keep(unlike.filter("owner = doc").groupBy("doc", "hash").agg(F.collect_set("place").alias("places")))
     runs = keep(arrow_map(texts.join(small(shown, max_broadcast_bytes), ["doc", "hash"]).select("doc", "hash", "text", "places"), opened, "doc long, hash long, key array<long>, place array<long>"))
     runs = each(runs, "key", "place")
-    firsts = runs.groupBy("key").agg(first, F.max("doc").alias("last"), F.count("*").alias("often")).filter("first.doc < last").drop("last")
-    later = [x.filter("first.doc < doc").select("doc", "hash", F.struct("place", F.col("first.doc").alias("owner"), F.col("first.place").alias("owner_place"), "often").alias("line")) for x in (shared.filter("not open"), unlike, runs.join(firsts, "key"))]
+    firsts = named(runs.groupBy("key").agg(first, F.max("doc").alias("last"), F.count("*").alias("often"))).filter("owner < last").drop("last")
+    later = [x.filter("owner < doc").select("doc", "hash", F.struct("place", "owner", "owner_start", "often").alias("line")) for x in (shared.filter("not open"), unlike, runs.join(firsts, "key"))]
     return later[0].union(later[1]).union(later[2]).groupBy("doc", "hash").agg(F.collect_set("line").alias("lines"))
 
 
+def copied_blocks(docs: DataFrame, min_words: int, max_broadcast_bytes: int) -> DataFrame:
+    """(doc, hash, blocks): for each text with common lines the blocks of words (start << 32 | end) that are aligned with earlier documents."""
+
+    def align(batches):
+        for b in batches:
+            blocks = [[start << 32 | end for start, end in common_blocks(x)] for x in b.column("lines").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("hash"), pa.array(blocks, pa.list_(pa.int64()))], names=["doc", "hash", "blocks"])
+
+    return arrow_map(common_lines(docs, min_words, max_broadcast_bytes), align, "doc long, hash long, blocks array<long>")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_broadcast_bytes: int = 32 << 20) -> DataFrame:
     """docs with the text of each row less its copied passages, and n_words_removed, n_words_left."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     names = [c for c in docs.columns if c not in ("n_words_removed", "n_words_left")]
-    of, named, places = (free(c, docs.columns) for c in ("copy_doc", "copy_hash", "copy_lines"))
-    gone = keep(common_lines(rows, min_words, max_broadcast_bytes).select(F.col("doc").alias(of), F.col("hash").alias(named), F.col("lines").alias(places)))
+    of, named, places = (free(c, docs.columns) for c in ("copy_doc", "copy_hash", "copy_blocks"))
+    gone = keep(copied_blocks(rows, min_words, max_broadcast_bytes).select(F.col("doc").alias(of), F.col("hash").alias(named), F.col("blocks").alias(places)))
 
     def edit(batches):
         for b in batches:
             text, lost, left = [], [], []
             for t, g in zip(b.column(text_col).to_pylist(), b.column(places).to_pylist(), strict=True):
                 n = len(t.split()) if t else 0
-                text.append(without(t, going(t, common_blocks(g), min_words)) if g and t else t)
+                text.append(without(t, going(t, [(x >> 32, x & 0xFFFFFFFF) for x in g], min_words)) if g and t else t)
                 left.append(len(text[-1].split()) if g and t else n)
                 lost.append(n - left[-1])
             kept = [pa.array(text, pa.string()) if c == text_col else b.column(c) for c in names]

@@ -103,7 +103,7 @@ def test_patience(lines):
 
 def test_blocks_are_aligned():
     assert ld.aligned([(0, 50, 100), (1, 51, 101), (20, 70, 120), (300, 350, 0), (400, 450, 0)]) == [(0, 70), (300, 350), (400, 450)]
-    line = lambda place, owner, at, often: {"place": place << 32 | place + 50, "owner": owner, "owner_place": at << 32 | at + 50, "often": often}
+    line = lambda place, owner, at, often: {"place": place << 32 | place + 50, "owner": owner, "owner_start": at, "often": often}
     assert sorted(ld.common_blocks([line(0, 7, 5, 9), line(10, 8, 0, 2), line(0, 8, 90, 3), line(200, 7, 205, 9)])) == [(0, 50), (10, 60), (200, 250)]
     assert len(ld.patience([(k, k % 7) for k in range(100_000)])) == -(-100_000 // 7)
 
