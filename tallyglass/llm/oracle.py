@@ -60,9 +60,9 @@ m AS (SELECT w.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(a
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
 b AS (SELECT * EXCLUDE (lines), CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 s AS (SELECT *, {scores} FROM b),
-held AS (SELECT s.* FROM s SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON s.doc_id = l.doc_id WHERE NOT base_failed),
+held AS (SELECT DISTINCT s.* FROM s SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON s.doc_id = l.doc_id WHERE NOT base_failed),
 c AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER ({value} > cutoff) AS k FROM held, (VALUES {grid}) AS grid(rule, cutoff) GROUP BY ALL),
-q AS (SELECT *, count(*) OVER () AS tests FROM c),
+q AS (SELECT *, (SELECT count(*) FROM (SELECT DISTINCT stratum, rule FROM c)) AS tests FROM c),
 z AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM q WHERE k <= n * {p} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) <= {delta} / tests GROUP BY stratum, rule),
 y AS (SELECT stratum AS of_stratum, {cuts} FROM z GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, stratum, failed_rules

@@ -25,6 +25,7 @@ import os
 import re
 import struct
 import zlib
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -175,20 +176,23 @@ def with_starts(index: DataFrame) -> DataFrame:
     return index.join(small(totals), "file").withColumn("start", F.col("before") + F.col("start_in_file"))
 
 
-def read_sequences(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
-    """(doc_id, ids) of all records, or of the rows of the index given as wanted, in any order: each file is opened once and the
-    frames at the wanted offsets are read."""
-    files = record_files(spark, root)
-    places = (spark.read.parquet(f"{root}/index") if wanted is None else wanted).groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("places"))
+def read_sequences(spark: SparkSession, root: str, wanted: DataFrame | None = None, rank_col: str | None = None) -> DataFrame:
+    """(doc_id, ids) of all records, or of the rows of the index given as wanted: each file with wanted records is read once, and of it
+    the frames at their offsets alone. rank_col: a column of wanted (of numbers); then (rank, doc_id, ids) in ascending order of it,
+    as for one epoch of training in an order of one's own. Files without wanted records are not read."""
+    rows = (spark.read.parquet(f"{root}/index") if wanted is None else wanted).select("file", F.struct(F.col(rank_col).cast("double").alias("rank") if rank_col else F.lit(0.0).alias("rank"), "offset", "length").alias("place"))
+    places = rows.groupBy("file").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
     def pick(batches):
         for b in batches:
             for content, places in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 data = content.as_buffer()
-                got = [next(frames(data[p["offset"] : p["offset"] + p["length"]])) for p in places]
-                yield pa.RecordBatch.from_arrays([pa.array([g[2] for g in got], pa.int64()), pa.array([g[3].tolist() for g in got], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+                for some in batched(places, ROWS):
+                    got = [next(frames(data[p["offset"] : p["offset"] + p["length"]])) for p in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([p["rank"] for p in some], pa.float64()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.list_(pa.int64()))], names=["rank", "doc_id", "ids"])
 
-    return arrow_map(files.join(places, "file").select("content", "places"), pick, "doc_id long, ids array<long>")
+    found = arrow_map(record_files(spark, root).join(places, "file").select("content", "places"), pick, "rank double, doc_id long, ids array<long>")
+    return found.orderBy("rank") if rank_col else found.drop("rank")
 
 
 def encode_to_records(docs: DataFrame, tokenizer_path: str, end_id: int = 1, root: str | None = None) -> DataFrame:

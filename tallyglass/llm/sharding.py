@@ -123,14 +123,16 @@ def even_cuts(sums: PrefixSums, shards: int, capacity: int) -> list[int]:
     return [*cuts, sums.total]
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, salts: int = 64, candidates: int = 15, max_fetch: int = 100_000) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, cell_rows: int = 50_000, candidates: int = 15, max_fetch: int = 100_000) -> DataFrame:
     """(id, size, text_crc32, shard, slot) for each row: slots of a shard count from 0 without gaps.
 
-    salts: pieces into which the rows of one group are dealt for numbering. max_fetch: prefix sums on the driver, at most.
+    cell_rows: rows of one group that are numbered together, about, however many it has. max_fetch: prefix sums on the driver, at most.
     """
     spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
-    base = keep(docs.select(F.col(id_col), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("grp"), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("salt")))
-    rows = base.count()
+    rows = docs.count()
+    # rows without an id are spread by their place, all others by their id
+    spread = F.pmod(F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(id_col)), F.lit(max(64, math.ceil(rows / cell_rows)))).cast("int")
+    base = keep(docs.select(F.col(id_col), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("grp"), spread.alias("salt")))
     kinds = T.StructType([base.schema[id_col], base.schema["size"], base.schema["text_crc32"], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     if not rows:
         return spark.createDataFrame([], kinds)

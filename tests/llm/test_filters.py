@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.llm.decontaminate import decontaminate, grams, winnow
 from tallyglass.llm.licenses import RULES, SENTENCES, normalise, normalised, scan_licenses
-from tallyglass.llm.quality import classify
+from tallyglass.llm.quality import classify, site_rates
 from tallyglass.llm.quality_rules import GRID, lower_tail, quality_rules
 
 from .conftest import SF
@@ -169,3 +169,34 @@ def test_classifier_held_out(spark, docs, empty):
     assert out.count() == docs.count() and out.filter("kept is null").count() == 0
     assert classify(docs, labels.filter("false")).filter("kept").count() == docs.count()
     assert classify(empty, labels).count() == 0
+
+
+def test_site_rates_by_brute_force(spark):
+    rng = random.Random(3)
+    made = [(f"h{h}", f"p{p}", rng.random() * (0.2 + 0.1 * h), rng.random() ** 3) for h in range(5) for p in range(rng.randrange(1, 6)) for _ in range(rng.choice([1, 3, 40]))] + [("", "", 0.5, 0.5)]
+    got = {(r["host"], r["path"]): (r["rate_low"], r["rate_toxic"]) for r in site_rates(spark.createDataFrame(made, "host string, path string, p_low double, p_toxic double")).collect()}
+
+    def shrunk_to(sites, upper):
+        """sites: key -> (documents, sum of probabilities); upper: key -> rate."""
+        spread = sum(n * (s / n - upper[k]) ** 2 for k, (n, s) in sites.items())
+        chance, scale = sum(upper[k] * (1 - upper[k]) for k in sites), sum(n * upper[k] * (1 - upper[k]) for k, (n, _) in sites.items())
+        extra = (spread - chance) / scale
+        weight = min(1e6, max(1.0, 1 / extra - 1)) if extra > 1e-6 else 1e6
+        return {k: (s + weight * upper[k]) / (n + weight) for k, (n, s) in sites.items()}
+
+    for t in (0, 1):
+        paths, hosts = defaultdict(lambda: (0, 0.0)), defaultdict(lambda: (0, 0.0))
+        for h, p, *x in made:
+            paths[h, p], hosts[h] = (paths[h, p][0] + 1, paths[h, p][1] + x[t]), (hosts[h][0] + 1, hosts[h][1] + x[t])
+        world = sum(x[2 + t] for x in made) / len(made)
+        of_host = shrunk_to(hosts, dict.fromkeys(hosts, world))
+        want = shrunk_to(paths, {k: of_host[k[0]] for k in paths})
+        assert got.keys() == want.keys() and all(math.isclose(got[k][t], want[k], rel_tol=1e-9) for k in want)
+
+
+def test_posterior_joins_evidence_and_site(spark):
+    made = made_corpus(600)
+    df = spark.createDataFrame(made, "doc_id long, text string, source string, lang string, quality int, toxic int")
+    got = classify(df.drop("quality", "toxic"), df.select("doc_id", "quality", "toxic"), rounds=1).collect()
+    assert {r["host"] for r in got} == {None, "h1", "h3", "h0", "h2", "h4"} and {r["path"] for r in got} == {"p"}
+    assert all(0 <= r["p_low"] <= 1 and 0 <= r["p_toxic"] <= 1 and r["kept"] == (r["p_low"] < 0.5 and r["p_toxic"] < 0.5) for r in got)

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyglass.llm.bpe import vocabulary
@@ -87,3 +88,6 @@ def test_shuffled_reads(spark, docs, tmp_path):
     got = {r["doc_id"]: len(r["ids"]) for r in read_sequences(spark, root, some).collect()}
     assert got == {r["doc_id"]: r["n_tokens"] for r in some.collect()} and len(got) > 5
     assert read_sequences(spark, root).count() == index.count()
+    ranked = [(r["rank"], r["doc_id"], list(r["ids"])) for r in read_sequences(spark, root, some.withColumn("turn", F.xxhash64("doc_id")), "turn").collect()]
+    assert [r[0] for r in ranked] == sorted(r[0] for r in ranked) and [r[1] for r in ranked] == [r["doc_id"] for r in some.orderBy(F.xxhash64("doc_id")).collect()]
+    assert {d: len(ids) for _, d, ids in ranked} == got
