@@ -1,5 +1,6 @@
 """Near duplicates (1) and line dedup (7): against brute force."""
 
+import math
 import random
 
 from hypothesis import given, settings
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 
 from tallyglass.llm import line_dedup as ld
 from tallyglass.llm.components import components
-from tallyglass.llm.minhash import near_duplicates
+from tallyglass.llm.minhash import least_equal, near_duplicates
 
 
 def brute_components(edges):
@@ -74,7 +75,34 @@ def test_near_duplicates(spark, docs, rows, empty):
                 assert r["component_id"] is None and r["kept"]
         sizes = {d: len(shingles(t, n)) for d, t in rows + made}
         assert all(r["n_shingles"] == sizes[r["doc_id"]] for r in got)
-    assert near_duplicates(empty).count() == 0
+    assert near_duplicates(empty).count() == 0 and near_duplicates(docs).count() == len(rows)
+
+
+def test_crowded_buckets(spark):
+    """Many copies of a base that are far from each other, texts that share half of their words, chains: equal to brute force."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=4))
+    base, passage, chain, out = [word() for _ in range(100)], [word() for _ in range(30)], [word() for _ in range(100)], []
+    for _ in range(300):
+        text = list(base)
+        for _ in range(rng.choice([3, 6, 8, 9])):
+            text[rng.randrange(100)] = word()
+        out.append(text)
+    out += [passage + [word() for _ in range(rng.randrange(20, 50))] for _ in range(300)]
+    for _ in range(30):
+        chain[rng.randrange(100)] = word()
+        out.append(list(chain))
+    made = list(enumerate(" ".join(t) for t in rng.sample(out, len(out))))
+    want = brute_groups(made, 2)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), shingle=2).collect()}
+    assert got == {d: want.get(d, d) for d, _ in made} and 200 < len(set(got.values())) < len(made) - 100
+
+
+def test_least_equal():
+    for count, percent, risk in ((150, 80, 1e-9), (20, 50, 0.01), (10, 100, 0.5)):
+        below = lambda k: sum(math.comb(count, i) * (percent / 100) ** i * (1 - percent / 100) ** (count - i) for i in range(k))  # noqa: B023, E731
+        k = least_equal(count, percent, risk)
+        assert below(k) <= risk * 1.001 and (k == count or below(k + 1) > risk)
 
 
 def test_rows_that_repeat_an_id(spark):

@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
@@ -61,3 +62,27 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows(spark, docs, tmp_path):
+    """Null, empty, very long and repeated texts, ties, rows without an id, extra columns whose names clash: nothing breaks, each row is
+    judged by its own text, and all columns are carried along."""
+    items = [(k, " ".join(words(random.Random(k), 30))) for k in range(3)]
+    extra = {c: "x" for c in docs.columns[5:]}
+    odd = [(None, items[0][1], "en", "s", 0, *extra.values()), (7001, items[1][1], "en", "s", 0, *extra.values()), (7001, "one clean text under the same id", "en", "s", 0, *extra.values()), (None, "words without an id that nobody has", "en", "s", 0, *extra.values())]
+    both = docs.withColumn("gone_id", F.lit(1)).withColumn("copy_doc", F.lit(2)).unionByName(spark.createDataFrame(odd, docs.schema).withColumn("gone_id", F.lit(1)).withColumn("copy_doc", F.lit(2)))
+    both.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    n = docs.count()
+    for k, (_, stage) in enumerate(cp.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/out{k}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/out{k}")
+        assert docs.columns == before.columns or k == len(cp.STAGES) - 1
+        if k == 3:
+            left = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    texts = {t for d, t in left if d is None}
+    assert (7001, "one clean text under the same id") in left and (7001, items[1][1]) not in left
+    assert "words without an id that nobody has" in texts and items[0][1] not in texts
+    assert {9001, 9002, 9003, 9004} <= {d for d, _ in left} and docs.count() == len(left) <= n
