@@ -1,7 +1,7 @@
 """Execution accuracy of predicted SQL.
 
-Each pair of queries is two plans; the driver submits them, Spark runs them. A gold result that is asked for again (by
-another method, or another question) is cached. Rows of an evaluation: idx, db_id, question, gold_sql, pred_sql, correct,
+Each pair of queries is two plans; the driver submits them, Spark runs them. The gold results that were asked for last are
+cached, so that several methods' predictions meet them ready; how many is bounded. Rows of an evaluation: idx, db_id, question, gold_sql, pred_sql, correct,
 error, hardness.
 """
 
@@ -21,15 +21,22 @@ SCHEMA = "idx int, db_id string, question string, gold_sql string, pred_sql stri
 class Evaluator:
     """open_database: makes the tables of a db_id the current views and returns True, or returns False if there is no such database."""
 
-    def __init__(self, spark: SparkSession, open_database: Callable[[str], bool], sqlite_dialect: bool = True):
-        self.spark, self.open_database, self.sqlite_dialect = spark, open_database, sqlite_dialect
+    def __init__(self, spark: SparkSession, open_database: Callable[[str], bool], sqlite_dialect: bool = True, max_cached: int = 64):
+        self.spark, self.open_database, self.sqlite_dialect, self.max_cached = spark, open_database, sqlite_dialect, max_cached
         self.gold: dict[tuple[str, str], Result] = {}
 
     def _gold(self, db_id: str, sql: str) -> Result:
-        if (key := (db_id, sql)) not in self.gold:
+        """The gold query's result, cached; the one that was asked for longest ago goes when there are too many."""
+        found = self.gold.pop((db_id, sql), None)
+        if found is None:
             found = execute(self.spark, sql, self.sqlite_dialect)
-            self.gold[key] = Result(found.df.cache() if found.df is not None else None, found.error)
-        return self.gold[key]
+            found = Result(found.df.persist() if found.df is not None else None, found.error)
+        self.gold[db_id, sql] = found
+        while len(self.gold) > self.max_cached:
+            oldest = self.gold.pop(next(iter(self.gold)))
+            if oldest.df is not None:
+                oldest.df.unpersist()
+        return found
 
     def correct(self, db_id: str, predicted: str, gold: str) -> tuple[bool, str | None]:
         """(whether the results match, why not if a query failed)"""
