@@ -45,6 +45,10 @@ class Vocabulary:
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
+        # of each token the rank of the merge that makes it, and its parts; bytes come before all merges
+        self.made_at = {i: (rank, pair) for pair, (rank, i) in self.merges.items()}
+        #: Is each merge listed after those that make its parts? Then a merge's rank says when it happens.
+        self.in_turn = all(rank > max(self.made_at[x][0] if x in self.made_at else -1 for x in pair) for pair, (rank, _) in self.merges.items())
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self._cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None

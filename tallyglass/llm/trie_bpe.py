@@ -30,6 +30,7 @@ class TrieEncoder:
     def __init__(self, v: Vocabulary):
         self.v, self.longest = v, max(map(len, v.id_of))
         self._fits: dict[int, bool] = {}
+        self._edges: tuple[dict, dict] = ({}, {})
         self.memo = Memo(6_000_000, 400_000)
 
     def _merge(self, word: bytes) -> list[int]:
@@ -42,13 +43,54 @@ class TrieEncoder:
             ids[i : i + 2] = [merges[ids[i], ids[i + 1]][1]]
         return ids
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """What stands at the token's edge (side 0: its first symbol, 1: its last one) while it is merged, the byte first: (symbol, rank
+        of the merge that takes it in)."""
+        kept = self._edges[side]
+        if (found := kept.get(token)) is None:
+            found, x, until = [], token, 1 << 60
+            while True:
+                found.append((x, until))
+                if x not in self.v.made_at:
+                    break
+                until, pair = self.v.made_at[x]
+                x = pair[side]
+            found.reverse()
+            kept[token] = found
+        return found
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Do tokens a and b stay apart where they meet? While both are merged, symbols x and y stand at the seam; they would merge if
+        their rank comes before what takes in x from the left, and not after what takes in y from the right."""
+        left, right, i, j, merges = self._edge(a, 1), self._edge(b, 0), 0, 0, self.v.merges
+        while True:
+            (x, x_until), (y, y_until) = left[i], right[j]
+            if (m := merges.get((x, y))) is not None and m[0] < x_until and m[0] <= y_until:
+                return False
+            if x_until == y_until == 1 << 60:
+                return True
+            if x_until <= y_until:
+                i += 1
+            else:
+                j += 1
+
+    def _alone(self, b: int) -> bool:
+        """Is the token what merging makes of its own bytes?"""
+        return self._merge(self.v.bytes_of[b]) == [b]
+
     def fits(self, key: int) -> bool:
         """May token b follow token a? key: (a + 1) << 20 | b; a = -1: may b come first?"""
         if (known := self._fits.get(key)) is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 500_000:
                 self._fits.clear()
             a, b = (key >> 20) - 1, key & 0xFFFFF
-            known = self._fits[key] = self._merge((self.v.bytes_of[a] if a >= 0 else b"") + self.v.bytes_of[b]) == ([a, b] if a >= 0 else [b])
+            if a < 0:
+                known = self._alone(b)
+            elif self.v.in_turn:
+                known = self.fits(b) and self._apart(a, b)
+            else:
+                known = self._merge(self.v.bytes_of[a] + self.v.bytes_of[b]) == [a, b]
+            self._fits[key] = known
         return known
 
     def last_token(self, word: bytes, depth: int, last: list[int], begin: list[int]) -> None:
@@ -67,7 +109,9 @@ class TrieEncoder:
         out: dict[bytes, tuple[int, ...]] = {}
         before, last, begin = b"", [-1], [0]
         for w in sorted(words):
-            shared = next((i for i, (x, y) in enumerate(zip(before, w, strict=False)) if x != y), min(len(before), len(w)))
+            shared, most = 0, min(len(before), len(w))
+            while shared < most and before[shared] == w[shared]:
+                shared += 1
             if len(last) <= len(w):
                 last += [-1] * (len(w) + 1 - len(last))
                 begin += [0] * (len(w) + 1 - len(begin))
@@ -84,13 +128,14 @@ class TrieEncoder:
     def encode(self, texts: list[str]) -> list[list]:
         """For each text, what the memo holds of its pieces, in order. Words that are new in these texts go through the trie together."""
         out: list[list] = [[] for _ in texts]
-        waiting: list[tuple[int, tuple[str, ...]]] = []
-        n = 0
+        waiting: list[tuple[int, tuple[str, ...], list]] = []
+        n, get = 0, self.memo.get
 
         def flush():
-            self.learn({p for _, some in waiting for p in some})
-            for at, some in waiting:
-                out[at] += map(self.memo.__getitem__, some)
+            new = {p for _, some, found in waiting if None in found for p, x in zip(some, found, strict=True) if x is None}
+            learned = self.learn(new) if new else {}
+            for at, some, found in waiting:
+                out[at] += [learned[p] if x is None else x for p, x in zip(some, found, strict=True)] if None in found else found
             waiting.clear()
 
         for at, text in enumerate(texts):
@@ -100,7 +145,7 @@ class TrieEncoder:
                     out[at].append(self.made((self.v.special[part],)))
                     continue
                 for some in batched(pieces(part), PIECES_AT_ONCE):
-                    waiting.append((at, some))
+                    waiting.append((at, some, list(map(get, some))))
                     n += len(some)
                     if n > PIECES_AT_ONCE:
                         flush()
@@ -108,15 +153,16 @@ class TrieEncoder:
         flush()
         return out
 
-    def learn(self, wanted: set[str]) -> None:
-        new = [p for p in wanted if p not in self.memo]
+    def learn(self, new: set[str]) -> dict[str, object]:
+        """What is made of pieces that are not in the memo; they are then."""
+        plain = {p: p.encode() for p in new if p.isalpha() or p[0] == " " and p[1:].isalpha()}  # one word each
+        words = {p: [w.encode() for w in PATTERN.findall(p)] for p in new if p not in plain}
+        ids = self.encode_words({*plain.values(), *(w for ws in words.values() for w in ws)})
+        made = {p: self.made(ids[w]) for p, w in plain.items()}
+        made |= {p: self.made(tuple(t for w in ws for t in ids[w])) for p, ws in words.items()}
         self.memo.room(new)
-        if not self.memo:
-            new = list(wanted)
-        words = {p: [w.encode() for w in PATTERN.findall(p)] for p in new}
-        ids = self.encode_words({w for ws in words.values() for w in ws})
-        for p, ws in words.items():
-            self.memo[p] = self.made(tuple(t for w in ws for t in ids[w]))
+        self.memo.update(made)
+        return made
 
     def made(self, ids: tuple[int, ...]):
         """What the memo holds of a piece."""
