@@ -272,15 +272,16 @@ def common_lines(docs: DataFrame, min_words: int, max_broadcast_bytes: int) -> D
     start = F.pmod("first", F.lit(1 << 32).cast("decimal(11,0)")).cast("long")
     named = lambda df: df.withColumn("owner_start", start).withColumn("owner", ((F.col("first") - F.col("owner_start")) / (1 << 32)).cast("long")).drop("first")
     # a print with one line: all documents have the same around it, and the first one owns it
-    common = named(told.groupBy("print").agg(first, F.max("doc").alias("last"), F.count("*").alias("often"), (F.min("stretch") < F.max("stretch")).alias("open"))).filter("owner < last")
+    # (what is grouped is stored before it is joined: only then can a join on a print that very many lines have be split)
+    common = keep(named(told.groupBy("print").agg(first, F.max("doc").alias("last"), F.count("*").alias("often"), (F.min("stretch") < F.max("stretch")).alias("open"))).filter("owner < last"))
     shared = keep(told.join(common.drop("last"), "print").drop("print"))
-    owners = named(shared.filter("open").groupBy("stretch").agg(first))
+    owners = keep(named(shared.filter("open").groupBy("stretch").agg(first)))
     unlike = keep(shared.filter("open").drop("owner", "owner_start").join(owners, "stretch").drop("stretch"))
     # lines that differ around the same print: the first document of each shows its runs
     shown = keep(unlike.filter("owner = doc").groupBy("doc", "hash").agg(F.collect_set("place").alias("places")))
     runs = keep(arrow_map(texts.join(small(shown, max_broadcast_bytes), ["doc", "hash"]).select("doc", "hash", "text", "places"), opened, "doc long, hash long, key array<long>, place array<long>"))
     runs = each(runs, "key", "place")
-    firsts = named(runs.groupBy("key").agg(first, F.max("doc").alias("last"), F.count("*").alias("often"))).filter("owner < last").drop("last")
+    firsts = keep(named(runs.groupBy("key").agg(first, F.max("doc").alias("last"), F.count("*").alias("often"))).filter("owner < last").drop("last"))
     later = [x.filter("owner < doc").select("doc", "hash", F.struct("place", "owner", "owner_start", "often").alias("line")) for x in (shared.filter("not open"), unlike, runs.join(firsts, "key"))]
     return later[0].union(later[1]).union(later[2]).groupBy("doc", "hash").agg(F.collect_set("line").alias("lines"))
 
