@@ -7,11 +7,16 @@ its component.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
 
+#: Edges in a partition, about.
+PART_EDGES = 250_000
+
 
 def _linked(edges: DataFrame, both: bool) -> DataFrame:
     """(u, v, least): each edge with the least of u and its neighbours (both: all neighbours, else the smaller ones)."""
@@ -44,7 +49,9 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        edges = keep(small_star(large_star(edges)))
+        # no step makes more edges; so few of them as a rule that many small files would cost more than they hold
+        parts = max(1, math.ceil(state[0] / PART_EDGES))
+        edges = keep(small_star(large_star(edges.coalesce(parts))).coalesce(parts))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
