@@ -28,10 +28,11 @@ from __future__ import annotations
 import bisect
 import re
 from collections import Counter
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,37 +51,54 @@ def pieces(text: str) -> list[str]:
 #: Odd multiplier of the rolling hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Words hashed together, about; and words whose hashes are remembered while a batch lasts.
-CHUNK_WORDS, MAX_WORDS = 100_000, 200_000
-
-
-class Hashes(dict):
-    """word -> its hash."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return found
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: Another odd multiplier, by which the length of what is hashed counts.
+LENGTH = np.uint64(0xD6E8FEB86659FD93)
+#: Bytes of texts that are hashed together, about.
+CHUNK_BYTES = 500_000
+#: Is a byte space, as str.split() sees it? And what else it takes for space, in UTF-8.
+SPACE = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])
+WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
 def chunks(texts: pa.Array):
-    """(place of the first, texts) of stretches of a column, of CHUNK_WORDS words or one text each, about."""
+    """(place of the first, texts as bytes) of stretches of a column, of CHUNK_BYTES or one text each, about."""
     at, out, size = 0, [], 0
     for t in texts:
-        out.append(t.as_py())
-        size += len(out[-1] or "") // 5
-        if size >= CHUNK_WORDS:
+        out.append(t.as_buffer().to_pybytes() if t.is_valid else b"")
+        size += len(out[-1])
+        if size >= CHUNK_BYTES:
             yield at, out
             at, out, size = at + len(out), [], 0
     if out:
         yield at, out
 
 
+class Powers:
+    """Powers of a number modulo 2**64, as many as were asked for so far."""
+
+    def __init__(self, base: int):
+        self.base, self.known = base, np.ones(1, np.uint64)
+
+    def first(self, n: int) -> np.ndarray:
+        if n > len(self.known):
+            self.known = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 2 * CHUNK_BYTES), self.base, np.uint64)]), dtype=np.uint64)
+        return self.known[:n]
+
+
+UP, DOWN = Powers(BASE), Powers(INVERSE)
+
+
+def places_of_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of the texts, end to end; start and end of each word in them; words of each text). Words are those of str.split()."""
+    plain = [t if t.isascii() or not WIDE_SPACE.search(t) else " ".join(t.decode("utf-8", "surrogatepass").split()).encode("utf-8", "surrogatepass") for t in texts]
+    raw = np.frombuffer(b" ".join([*plain, b""]), np.uint8)
+    space = SPACE[raw]
+    before = np.concatenate([np.ones(1, bool), space[:-1]])
+    start, end = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
+    cuts = np.cumsum([0, *(len(t) + 1 for t in plain)])
+    return raw, start, end, np.diff(np.searchsorted(start, cuts))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """x (uint64) with each bit spread over all."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -91,16 +109,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Runs:
     """Hashes of runs of words of several texts, laid end to end: text k has the words from starts[k] up to starts[k + 1]."""
 
-    def __init__(self, texts: list[np.ndarray]):
-        self.starts = np.cumsum([0, *(len(t) for t in texts)])
-        words = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
-        power = lambda base: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(words), base, np.uint64)]), dtype=np.uint64)
-        self.back = power(INVERSE)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power(BASE)[: len(words)], dtype=np.uint64)])
+    def __init__(self, texts: list[bytes]):
+        raw, start, end, counts = places_of_words(texts)
+        words = self.hashed(raw.astype(np.uint64), start, end)
+        self.starts = np.cumsum([0, *counts])
+        self.back = DOWN.first(len(words) + 1)
+        self.sums = self.summed(words)
+
+    @staticmethod
+    def summed(values: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * UP.first(len(values)), dtype=np.uint64)])
+
+    @classmethod
+    def hashed(cls, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the values from each start up to its end, the same wherever they stand."""
+        sums = cls.summed(values)
+        return mixed((sums[end] - sums[start]) * DOWN.first(len(values) + 1)[start] + LENGTH * (end - start).astype(np.uint64))
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the words from start up to end, the same wherever they stand."""
-        return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+        return mixed((self.sums[end] - self.sums[start]) * self.back[start] + LENGTH * (end - start).astype(np.uint64))
 
     def stretches(self, gram: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, print) of each stretch: neighbouring runs of min_words words in which the same gram has the smallest hash, its print."""
@@ -144,6 +172,8 @@ def patience(lines: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     """Common lines (i, j), by their places on both sides, in sequences that rise on both: first the longest one of the lines that
     stand once on either side, then the others, each at the end of the sequence that comes closest before it."""
     lines = sorted(set(lines))
+    if all(a[0] < b[0] and a[1] < b[1] for a, b in pairwise(lines)):
+        return [lines] if lines else []  # as a rule: all in one order
     often_i, often_j = Counter(i for i, _ in lines), Counter(j for _, j in lines)
     once = [x for x in lines if often_i[x[0]] == 1 == often_j[x[1]]]
     first = [once[n] for n in _rising(once)]
@@ -181,18 +211,20 @@ def aligned(lines: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return blocks
 
 
-def common_blocks(found: list[dict]) -> list[tuple[int, int]]:
+def common_blocks(places: list[int], owners: list[int], owner_starts: list[int], often: list[int]) -> list[tuple[int, int]]:
     """Blocks of a document that are aligned with one of its owners; owners of rare lines come first, and what they have is not
-    aligned again. found: the lines, each with place, owner, owner_start and often."""
-    by_owner: dict[int, list[dict]] = {}
-    for x in found:
-        by_owner.setdefault(x["owner"], []).append(x)
+    aligned again. The lists have a value for each line: its place, its owner, its start there, how often it stands in all texts."""
+    by_owner: dict[int, list[tuple[int, int, int]]] = {}
+    rarest: dict[int, int] = {}
+    for place, owner, start, n in zip(places, owners, owner_starts, often, strict=True):
+        by_owner.setdefault(owner, []).append((place >> 32, place & 0xFFFFFFFF, start))
+        rarest[owner] = min(n, rarest.get(owner, n))
     blocks: list[tuple[int, int]] = []
-    for owner in sorted(by_owner, key=lambda o: (min(x["often"] for x in by_owner[o]), o)):
+    for owner in sorted(by_owner, key=lambda o: (rarest[o], o)):
         covered = sorted(blocks)
-        lines = [(x["place"] >> 32, x["place"] & 0xFFFFFFFF, x["owner_start"]) for x in by_owner[owner]]
         inside = lambda i, e: (k := bisect.bisect_right(covered, (i, 1 << 40)) - 1) >= 0 and e <= covered[k][1]  # noqa: B023, E731
-        if left := [x for x in lines if not inside(x[0], x[1])]:
+        left = [x for x in by_owner[owner] if not inside(x[0], x[1])] if covered else by_owner[owner]
+        if left:
             blocks += aligned(left)
     return blocks
 
@@ -240,9 +272,8 @@ def common_lines(docs: DataFrame, min_words: int, max_broadcast_bytes: int) -> D
 
     def stretches(batches):
         for b in batches:
-            word = Hashes()
             for at, texts in chunks(b.column(1)):
-                found = Runs([word.of(t) for t in texts])
+                found = Runs(texts)
                 begin, end, prints = found.stretches(gram, min_words)
                 cuts = pa.array(np.searchsorted(begin, found.starts), pa.int32())
                 first = np.repeat(found.starts[:-1], np.diff(cuts.to_numpy()))
@@ -252,9 +283,8 @@ def common_lines(docs: DataFrame, min_words: int, max_broadcast_bytes: int) -> D
 
     def opened(batches):
         for b in batches:
-            word = Hashes()
             for at, texts in chunks(b.column("text")):
-                found = Runs([word.of(t) for t in texts])
+                found = Runs(texts)
                 begin = [[np.arange(p >> 32, (p & 0xFFFFFFFF) - min_words + 1) for p in x] for x in b.column("places").slice(at, len(texts)).to_pylist()]
                 begin = [np.unique(np.concatenate(x)) for x in begin]
                 cuts = pa.array(np.cumsum([0, *(len(x) for x in begin)]), pa.int32())
@@ -291,7 +321,10 @@ def copied_blocks(docs: DataFrame, min_words: int, max_broadcast_bytes: int) ->
 
     def align(batches):
         for b in batches:
-            blocks = [[start << 32 | end for start, end in common_blocks(x)] for x in b.column("lines").to_pylist()]
+            lines = b.column("lines")
+            columns = [x.to_pylist() for x in lines.flatten().flatten()]
+            cuts = [0, *accumulate(len(x) for x in lines)]
+            blocks = [[start << 32 | end for start, end in common_blocks(*(c[i:j] for c in columns))] for i, j in pairwise(cuts)]
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("hash"), pa.array(blocks, pa.list_(pa.int64()))], names=["doc", "hash", "blocks"])
 
     return arrow_map(common_lines(docs, min_words, max_broadcast_bytes), align, "doc long, hash long, blocks array<long>")
@@ -306,14 +339,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def edit(batches):
         for b in batches:
-            text, lost, left = [], [], []
-            for t, g in zip(b.column(text_col).to_pylist(), b.column(places).to_pylist(), strict=True):
-                n = len(t.split()) if t else 0
-                text.append(without(t, going(t, [(x >> 32, x & 0xFFFFFFFF) for x in g], min_words)) if g and t else t)
-                left.append(len(text[-1].split()) if g and t else n)
-                lost.append(n - left[-1])
-            kept = [pa.array(text, pa.string()) if c == text_col else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lost, pa.int64()), pa.array(left, pa.int64())], names=[*names, "n_words_removed", "n_words_left"])
+            texts, blocks = b.column(text_col), b.column(places)
+            before = np.concatenate([np.zeros(0, np.int64), *(places_of_words(x)[3] for _, x in chunks(texts))])
+            left = before.copy()
+            cut = np.flatnonzero(blocks.is_valid().to_numpy(zero_copy_only=False))
+            shorter = [without(t.as_py(), going(t.as_py(), [(x >> 32, x & 0xFFFFFFFF) for x in g], min_words)) for t, g in zip(texts.take(pa.array(cut)), blocks.take(pa.array(cut)).to_pylist(), strict=True)]
+            left[cut] = [len(t.split()) for t in shorter]
+            texts = pc.replace_with_mask(texts, blocks.is_valid(), pa.array(shorter, texts.type))
+            kept = [texts if c == text_col else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(before - left), pa.array(left)], names=[*names, "n_words_removed", "n_words_left"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
     joined = docs.select(names).join(small(gone, max_broadcast_bytes), (F.col(id_col) == F.col(of)) & (F.xxhash64(text_col) == F.col(named)), "left").select(*names, places)

@@ -129,10 +129,20 @@ def test_patience(lines):
     assert not once or len(sequences[0]) == max(longest.values()) and set(sequences[0]) <= set(once)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab\u00e9 \n\t\x1c\x85\u00a0\u2003\u3000\u1680\u205f\0\U0001f642", max_size=30), max_size=6))
+def test_words_are_those_of_split(texts):
+    raw, start, end, counts = ld.places_of_words([t.encode() for t in texts])
+    words = [w for t in texts for w in t.split()]
+    assert counts.tolist() == [len(t.split()) for t in texts] and [raw[a:b].tobytes().decode() for a, b in zip(start, end, strict=True)] == words
+    hashes = ld.Runs.hashed(raw.astype("u8"), start, end).tolist()
+    assert len(set(hashes)) == len(set(words)) == len(set(zip(words, hashes, strict=True)))
+
+
 def test_blocks_are_aligned():
     assert ld.aligned([(0, 50, 100), (1, 51, 101), (20, 70, 120), (300, 350, 0), (400, 450, 0)]) == [(0, 70), (300, 350), (400, 450)]
-    line = lambda place, owner, at, often: {"place": place << 32 | place + 50, "owner": owner, "owner_start": at, "often": often}
-    assert sorted(ld.common_blocks([line(0, 7, 5, 9), line(10, 8, 0, 2), line(0, 8, 90, 3), line(200, 7, 205, 9)])) == [(0, 50), (10, 60), (200, 250)]
+    lines = [(0, 7, 5, 9), (10, 8, 0, 2), (0, 8, 90, 3), (200, 7, 205, 9)]
+    assert sorted(ld.common_blocks([x[0] << 32 | x[0] + 50 for x in lines], *([x[k] for x in lines] for k in (1, 2, 3)))) == [(0, 50), (10, 60), (200, 250)]
     assert len(ld.patience([(k, k % 7) for k in range(100_000)])) == -(-100_000 // 7)
 
 
@@ -184,7 +194,7 @@ def test_passages_inside_sentences_go(spark):
     for min_words in (50, 7):
         want = brute_spans(made, min_words)
         df = spark.createDataFrame([(d, t) for d, t in made], "doc_id long, text string").repartition(3)
-        spans = {r["doc"]: {i for a, b in ld.common_blocks(r["lines"]) for i in range(a, b)} for r in ld.common_lines(df.selectExpr("doc_id AS doc", "text"), min_words, 200).collect()}
+        spans = {r["doc"]: {i for a, b in ld.common_blocks(*([x[c] for x in r["lines"]] for c in ("place", "owner", "owner_start", "often"))) for i in range(a, b)} for r in ld.common_lines(df.selectExpr("doc_id AS doc", "text"), min_words, 200).collect()}
         assert spans == {d: w for (d, _), w in zip(made, want, strict=True) if w}
         got = {r["doc_id"]: r for r in ld.dedup_lines(df, min_words=min_words, max_broadcast_bytes=2000).collect()}
         for (d, t), w in zip(made, want, strict=True):
