@@ -204,13 +204,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = keep(signatures(texts, shingle, bands * rows))
     classes = keep(signed.filter("n > 0 and doc is not null").groupBy("k1", "k2").agg(F.min("doc").alias("rep")))
 
-    # a class's keys come from the row that stands for it
-    stands = signed.join(classes.select("k1", "k2", F.col("rep").alias("doc")), ["k1", "k2", "doc"], "left_semi").select("doc", "n", "sig").distinct()
+    # a class's keys come from the row that stands for it; what is grouped by key is stored before it is joined, so that it can be
+    # broadcast, or a join on a crowded key can be split
+    stored = lambda df: small(keep(df), max_broadcast_bytes)
+    stands = keep(signed.join(classes.select("k1", "k2", F.col("rep").alias("doc")), ["k1", "k2", "doc"], "left_semi").select("doc", "n", "sig").distinct())
     keys = F.array(*(F.xxhash64(F.lit(k), F.slice("sig", k * rows + 1, rows)) for k in range(bands)))
     keyed = stands.select("doc", "n", F.explode(keys).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("key")
+    shared = stored(keyed.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("key"))
     members = keep(keyed.join(shared, "key").select("key", "doc", "n"))
-    candidates = small(keep(members.select("doc").distinct()), max_broadcast_bytes)
+    candidates = stored(members.select("doc").distinct())
     signs = keep(stands.join(candidates, "doc", "left_semi"))
     full = keep(sets(texts.join(candidates, "doc", "left_semi"), shingle).distinct())
 
@@ -220,11 +222,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = of_id.join(first, "doc").select(F.col("rep").alias("u"), F.col("first").alias("v"))
 
     # members with many neighbours in their buckets are likely to be what the others were copied from
-    crowds = members.groupBy("key").agg(F.count("*").alias("crowd"))
+    crowds = stored(members.groupBy("key").agg(F.count("*").alias("crowd")))
     score = members.join(crowds, "key").groupBy("doc").agg(F.sum("crowd").alias("score"))
     members = keep(members.join(score, "doc"))
     best = F.max(F.struct("score", (-F.col("doc")).alias("minus"), "n"))
-    pivots = keep(members.groupBy("key").agg(best.alias("p")).select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("p_n")))
+    pivots = stored(members.groupBy("key").agg(best.alias("p")).select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("p_n")))
     may = (F.col("doc") != F.col("pivot")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
     pairs = keep(members.join(pivots, "key").filter(may).groupBy(F.greatest("doc", "pivot").alias("u"), F.least("doc", "pivot").alias("v")).agg(F.min("pivot").alias("pivot")))
     least = least_equal(bands * rows, percent, risk)
@@ -235,8 +237,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a pivot has been held against all others of its bucket; what is left of it in several parts goes on
     part = F.coalesce("component", "doc").alias("part")
     rest = members.join(pivots, "key").filter("doc <> pivot").select("key", "doc").join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", part)
-    still = rest.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").select("key")
-    crowd = small(keep(rest.join(still, "key").select("doc", "part").distinct()), max_broadcast_bytes)
+    still = stored(rest.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").select("key"))
+    crowd = stored(rest.join(still, "key").select("doc", "part").distinct())
     met = keep(prefix_pairs(keep(full.join(crowd, "doc")), percent).join(pairs.select("u", "v"), (F.greatest("doc", "pivot") == F.col("u")) & (F.least("doc", "pivot") == F.col("v")), "left_anti"))
     linked = verified(met, signs, full, percent, least, max_broadcast_bytes)
     parts = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(linked.select(F.col("doc").alias("u"), F.col("pivot").alias("v")))).withColumnRenamed("node", "rep")
