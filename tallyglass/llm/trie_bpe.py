@@ -27,11 +27,14 @@ PIECES_AT_ONCE, ROWS = 400_000, 1_000
 
 
 class TrieEncoder:
+    #: Characters and pieces that the memo holds, at most.
+    ROOM = (6_000_000, 400_000)
+
     def __init__(self, v: Vocabulary):
         self.v, self.longest = v, max(map(len, v.id_of))
         self._fits: dict[int, bool] = {}
         self._edges: tuple[dict, dict] = ({}, {})
-        self.memo = Memo(6_000_000, 400_000)
+        self.memo = Memo(*self.ROOM)
 
     def _merge(self, word: bytes) -> list[int]:
         """Plain merging, for two tokens' bytes only."""
@@ -177,7 +180,9 @@ class Packer(TrieEncoder):
 
 
 class Digester(TrieEncoder):
-    """Holds for each piece the number of its ids, their decimal text and the bytes that they decode to."""
+    """Holds for each piece the number of its ids, their decimal text and the bytes that they decode to: some 350 bytes a piece."""
+
+    ROOM = (18_000_000, 1_000_000)
 
     def made(self, ids):
         return len(ids), ",".join(map(str, ids)), b"".join(map(self.v.bytes_of.__getitem__, ids))
